@@ -82,7 +82,8 @@ def area_filter(clusters: DataFrame, category: str, top: int = 2, min_share: flo
     total = clusters.agg(F.sum("area").alias("_total"))
     shared = clusters.crossJoin(F.broadcast(total))  # exactly one row
     shared = shared.withColumn("area_share", F.col("area") / F.col("_total")).drop("_total")
-    order = Window.partitionBy(category).orderBy(F.col("area").desc(), F.col("cluster_id"))
+    # compared in single precision: equal areas summed in another order must still tie
+    order = Window.partitionBy(category).orderBy(F.col("area").cast("float").desc(), F.col("cluster_id"))
     largest = shared.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top).drop("_rn")
     return largest.unionByName(shared.where(F.col("area_share") >= min_share)).dropDuplicates(["cluster_id"])
 
@@ -101,7 +102,7 @@ def assign_nearest(clustered: DataFrame, kept: DataFrame, category: str) -> Data
 
     def by_distance(k):
         dx, dy = k["cx"] - F.col("_x"), k["cy"] - F.col("_y")
-        return F.struct((dx * dx + dy * dy).alias("d"), k["id"].alias("id"), k["cat"].alias("cat"))
+        return F.struct((dx * dx + dy * dy).cast("float").alias("d"), k["id"].alias("id"), k["cat"].alias("cat"))
 
     best = F.array_min(F.transform("_kept", by_distance))
     own = F.exists("_kept", lambda k: k["id"] == F.col("cluster_id"))

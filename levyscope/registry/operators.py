@@ -784,7 +784,7 @@ entry("D4_area_filter", "SELECT cluster_id, category, area, area_share FROM kept
     """SELECT t.geoid, coalesce(own.cluster_id, near.cluster_id) AS cluster_id, coalesce(own.category, near.category) AS category
        FROM clustered t LEFT JOIN kept own ON own.cluster_id = t.cluster_id
        JOIN (SELECT geoid, c.cluster_id, c.category,
-               row_number() OVER (PARTITION BY geoid ORDER BY round(pow(c.cx - mx, 2) + pow(c.cy - my, 2), 12), c.cluster_id) AS rn
+               row_number() OVER (PARTITION BY geoid ORDER BY CAST(pow(c.cx - mx, 2) + pow(c.cy - my, 2) AS FLOAT), c.cluster_id) AS rn
              FROM clustered, kept c) near ON near.geoid = t.geoid AND near.rn = 1""",
     regions=True,
 )

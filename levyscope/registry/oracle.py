@@ -94,7 +94,7 @@ tile_at AS (
 tile_votes AS (SELECT cx, cy, label, count(*) AS n FROM tile_at GROUP BY ALL),
 tiles AS (
   SELECT lpad(CAST(cx + 50000 AS VARCHAR), 6, '0') || lpad(CAST(cy + 50000 AS VARCHAR), 6, '0') AS geoid, cx, cy,
-         CAST(label % 3 AS VARCHAR) AS category, total AS n
+         CAST(label % 3 AS VARCHAR) AS category, CAST(total AS BIGINT) AS n
   FROM (SELECT *, sum(n) OVER (PARTITION BY cx, cy) AS total,
                row_number() OVER (PARTITION BY cx, cy ORDER BY n DESC, label) AS rn FROM tile_votes)
   WHERE rn = 1)
@@ -318,7 +318,7 @@ cluster_area AS (
   FROM clustered GROUP BY cluster_id, category),
 kept AS (
   SELECT cluster_id, category, area, cx, cy, area_share FROM (
-    SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(area, 9) DESC, cluster_id) AS rn,
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY CAST(area AS FLOAT) DESC, cluster_id) AS rn,
            area / sum(area) OVER () AS area_share FROM cluster_area)
   WHERE rn <= 2 OR area_share >= 0.01)
 """
