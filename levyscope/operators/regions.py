@@ -104,10 +104,11 @@ def assign_nearest(clustered: DataFrame, kept: DataFrame, category: str) -> Data
         dx, dy = k["cx"] - F.col("_x"), k["cy"] - F.col("_y")
         return F.struct((dx * dx + dy * dy).cast("float").alias("d"), k["id"].alias("id"), k["cat"].alias("cat"))
 
-    best = F.array_min(F.transform("_kept", by_distance))
+    # set apart from the select below: inside a lambda a name would be taken for the new column of that name
     own = F.exists("_kept", lambda k: k["id"] == F.col("cluster_id"))
-    return rows.withColumn("_best", best).select(
+    rows = rows.withColumns({"_best": F.array_min(F.transform("_kept", by_distance)), "_own": own})
+    return rows.select(
         "geoid",
-        F.coalesce(F.when(own, F.col("cluster_id")), F.col("_best.id")).alias("cluster_id"),
-        F.coalesce(F.when(own, F.col(category)), F.col("_best.cat")).alias(category),
+        F.when(F.col("_own"), F.col("cluster_id")).otherwise(F.col("_best.id")).alias("cluster_id"),
+        F.when(F.col("_own"), F.col(category)).otherwise(F.col("_best.cat")).alias(category),
     )
