@@ -59,7 +59,7 @@ def weighted_mean(x: Column, w: Column) -> Column:
 
 def pad_left(c: Column, width: int, fill: str = "0") -> Column:
     """Left pad to ``width``; longer text is left alone (``lpad`` would cut it)."""
-    return F.when(F.length(c) < width, F.lpad(c, width, fill)).otherwise(c)
+    return F.lpad(c, F.greatest(F.length(c), F.lit(width)), fill)
 
 
 def month_date(c: Column) -> Column:

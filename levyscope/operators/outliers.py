@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import above, below, is_number, strict_mean, strict_sd
 from levyscope.operators.rank import ranked
-from levyscope.scale import SMALL_ROWS, attach_groups
+from levyscope.scale import is_small, attach_groups
 
 
 def group_quantiles(
@@ -21,7 +21,7 @@ def group_quantiles(
     are picked by a partial aggregate.
     """
     valid = df.where(is_number(F.col(value))).select(*by, value)
-    if rows is not None and rows <= SMALL_ROWS:
+    if is_small(rows):
         points = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
         cut = valid.groupBy(*by).agg(points.alias("__q"))
         return cut.select(*by, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])

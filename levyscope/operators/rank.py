@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import is_number
-from levyscope.scale import SMALL_ROWS, join_null_safe, stage
+from levyscope.scale import is_small, join_null_safe, stage
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
@@ -77,7 +77,7 @@ def ntile(
     With a small measured row count ``rows`` of ``df`` the window function does it; otherwise places come from ``ranked``.
     """
     keyed = df.withColumn("__ok", is_number(F.col(order)))
-    if rows is not None and rows <= SMALL_ROWS:
+    if is_small(rows):
         w = Window.partitionBy(*by, "__ok").orderBy(order, tie)
         return keyed.withColumn(name, F.when(F.col("__ok"), F.ntile(k).over(w))).drop("__ok")
     placed = ranked(keyed, [*by, "__ok"], [order, tie])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import ieee_div, is_number, strict_mean, strict_sum, t_quantile, weighted_mean
 from levyscope.operators.outliers import group_median
-from levyscope.scale import attach_groups, join_null_safe
+from levyscope.scale import is_small, attach_groups, join_null_safe
 
 
 def with_median(df: DataFrame, value: str, by: list[str], name: str, rows: int | None = None) -> DataFrame:
@@ -30,21 +30,19 @@ def cod(df: DataFrame, ratio: str, by: list[str], rows: int | None = None) -> Da
 
 
 def prd(df: DataFrame, ratio: str, price: str, by: list[str], rows: int | None = None) -> DataFrame:
-    """Mean ratio over price-weighted mean ratio, with its parts."""
-    parts = df.groupBy(*by).agg(
-        F.avg(ratio).alias("mean_av"),
-        weighted_mean(F.col(ratio), F.col(price)).alias("weighted_mean_av"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    median = group_median(df, ratio, by, "median_av", rows)
-    return join_null_safe(parts, median, by).select(
-        *by,
-        "mean_av",
-        "median_av",
-        "weighted_mean_av",
-        ieee_div(F.col("mean_av"), F.col("weighted_mean_av")).alias("prd"),
-        "n",
-    )
+    """Mean ratio over price-weighted mean ratio, with its parts. A small measured table gets its median in the same pass."""
+    parts = {
+        "mean_av": F.avg(ratio),
+        "weighted_mean_av": weighted_mean(F.col(ratio), F.col(price)),
+        "n": F.count(F.lit(1)),
+    }
+    if is_small(rows):
+        parts["median_av"] = F.median(F.nanvl(F.col(ratio), F.lit(None).cast("double")))
+    out = df.groupBy(*by).agg(*[c.alias(name) for name, c in parts.items()])
+    if "median_av" not in parts:
+        out = join_null_safe(out, group_median(df, ratio, by, "median_av"), by)
+    prd = ieee_div(F.col("mean_av"), F.col("weighted_mean_av"))
+    return out.select(*by, "mean_av", "median_av", "weighted_mean_av", prd.alias("prd"), "n")
 
 
 def prb_terms(df: DataFrame, ratio: str, av: str, price: str, by: list[str], rows: int | None = None) -> DataFrame:

@@ -36,16 +36,15 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     ).df
     labels = stage(nodes.select("id", F.col("id").alias("cluster_id")), "labels")
     for _ in range(max_rounds):
-        now = labels.df
+        now = labels.df.select("id", "cluster_id")
         seen = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("cluster_id").alias("_nb"))
         lower = now.join(seen, now["id"] == seen["src"], "left").select(
             "id", F.col("cluster_id").alias("_old"), F.least("cluster_id", "_nb").alias("cluster_id")
         )
-        lower = stage(lower, "lower")
-        used = lower.df.select("cluster_id").distinct()
-        parent = lower.df.select(F.col("id").alias("cluster_id"), F.col("cluster_id").alias("_up"))
-        jump = used.join(parent, "cluster_id")
-        after = attach_groups(lower.df, jump, ["cluster_id"], lower.rows)
+        lower = lower if labels.small else stage(lower, "lower").df  # read three times below
+        parent = lower.select(F.col("id").alias("cluster_id"), F.col("cluster_id").alias("_up"))
+        jump = lower.select("cluster_id").distinct().join(parent, "cluster_id")
+        after = attach_groups(lower, jump, ["cluster_id"], labels.rows)
         after = after.select("id", "_old", F.least("cluster_id", "_up").alias("cluster_id"))
         labels = stage(after, "labels")
         if labels.df.where("cluster_id <> _old").isEmpty():
@@ -55,6 +54,7 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
 
 def dissolve(polygons: DataFrame, category: str) -> DataFrame:
     """Every polygon with the connected same-category group it belongs to."""
+    polygons = stage(polygons, "layer").df
     pairs = shared_edges(polygons, [category]).where(F.col(category) == F.col(f"{category}_b")).select("a", "b")
     groups = components(polygons.select(F.col("geoid").alias("id")), pairs)
     return polygons.join(groups.withColumnRenamed("id", "geoid"), "geoid")

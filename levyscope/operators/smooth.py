@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import is_number
 from levyscope.operators.rank import ranked
-from levyscope.scale import SMALL_ROWS, attach_groups
-from pyspark.sql import Window
+from levyscope.scale import is_small, attach_groups
 
 
 def _places(df: DataFrame, by: list[str], x: str, tie: list[str], rows: int | None) -> DataFrame:
     """0-based place of each point by x within its group, and the group's size."""
-    if rows is not None and rows <= SMALL_ROWS:
+    if is_small(rows):
         group = Window.partitionBy(*by)
         place = (F.row_number().over(group.orderBy(x, *tie)) - 1).cast("bigint")
         return df.withColumns({"_rank": place, "_n": F.count(F.lit(1)).over(group)})

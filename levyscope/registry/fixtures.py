@@ -61,6 +61,11 @@ def by_segment(position: int):
     return out
 
 
+def known(text):
+    """Text made from keys, never missing: saying so spares Catalyst a null test of the built text on every row."""
+    return F.coalesce(text, F.lit(""))
+
+
 def study_year():
     return (F.year("o_orderdate") + YEARS_ADDED).cast("int")
 
@@ -68,7 +73,7 @@ def study_year():
 def sales(spark, sf_dir) -> DataFrame:
     moved = F.add_months(F.col("o_orderdate").cast("date"), 12 * YEARS_ADDED)
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.col("o_custkey").cast("string"), F.lit("0000")).alias("pin"),
+        known(F.concat(F.col("o_custkey").cast("string"), F.lit("0000"))).alias("pin"),
         study_year().alias("year"),
         F.date_format(moved, "MMMM dd yyyy").alias("sale_date"),
         F.col("o_totalprice").alias("sale_price"),
@@ -110,7 +115,7 @@ def assessments(spark, sf_dir) -> DataFrame:
     )
     return sums.join(people.unionByName(firms), ["kind", "key"]).select(
         "year",
-        pin.alias("pin"),
+        known(pin).alias("pin"),
         F.concat((F.col("nation") + 10).cast("string"), F.lit("001")).alias("tax_code_num"),
         "class",
         F.col("t").alias("tax_bill_total"),

@@ -25,6 +25,11 @@ SALTS = 64
 _local_root: dict[str, str] = {}
 
 
+def is_small(rows: int | None) -> bool:
+    """True only for a measured row count within the limit."""
+    return rows is not None and rows <= SMALL_ROWS
+
+
 @dataclass(frozen=True)
 class Staged:
     """A written table and the number of rows counted while writing it."""
@@ -34,7 +39,7 @@ class Staged:
 
     @property
     def small(self) -> bool:
-        return self.rows <= SMALL_ROWS
+        return is_small(self.rows)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -97,14 +102,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(F.broadcast(right) if small else right, cond, how).drop(*held.values())
 
 
-def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], max_groups: int | None = None) -> DataFrame:
+def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
     """Join one-row-per-group ``stats`` back to the rows of ``df``.
 
-    ``max_groups`` is a known upper bound on the rows of ``stats``. Without one (or above ``SMALL_ROWS``) the table is
+    ``rows`` is a measured count that bounds the rows of ``stats``. Without one (or above ``SMALL_ROWS``) the table is
     written and counted: a counted small table is broadcast, a large one is joined on group and salt, so that a group
     holding a large part of the rows is spread over ``SALTS`` tasks.
     """
-    if max_groups is not None and max_groups <= SMALL_ROWS:
+    if is_small(rows):
         return join_null_safe(df, stats, by, small=True)
     counted = stage(stats, "groups")
     if counted.small:
