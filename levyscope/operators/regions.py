@@ -46,8 +46,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
         jump = lower.select("cluster_id").distinct().join(parent, "cluster_id")
         after = attach_groups(lower, jump, ["cluster_id"], labels.rows)
         after = after.select("id", "_old", F.least("cluster_id", "_up").alias("cluster_id"))
-        labels = stage(after, "labels")
-        if labels.df.where("cluster_id <> _old").isEmpty():
+        labels = stage(after, "labels", changed=F.col("cluster_id") != F.col("_old"))
+        if labels.counts["changed"] == 0:
             return labels.df.select("id", "cluster_id")
     raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
@@ -79,6 +79,7 @@ def area_filter(clusters: DataFrame, category: str, top: int = 2, min_share: flo
     The two conditions are taken apart: the first is a group limit ahead of the shuffle, the second a plain filter, and
     no window has to rank every cluster of a category. At most top * categories + 1 / min_share rows remain.
     """
+    clusters = stage(clusters, "clusters").df  # read three times below
     total = clusters.agg(F.sum("area").alias("_total"))
     shared = clusters.crossJoin(F.broadcast(total))  # exactly one row
     shared = shared.withColumn("area_share", F.col("area") / F.col("_total")).drop("_total")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import ieee_div, strict_sum
-from levyscope.scale import join_null_safe
+from levyscope.scale import attach_groups
 
 
 def sum_by(df: DataFrame, keys: list[str], cols: list[str], strict: bool = True) -> DataFrame:
@@ -35,13 +35,13 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.unpivot([], df.columns, "column", "n_null")
 
 
-def share_of_total(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+def share_of_total(df: DataFrame, cols: list[str], by: list[str], rows: int | None = None) -> DataFrame:
     """Totals per ``by`` (``{col}_sum``) and each row's share of them (``{col}_share``).
 
     The totals are a partial aggregate joined back rather than a window, so a large group is not drawn into one task.
     """
     totals = df.groupBy(*by).agg(*[strict_sum(F.col(c)).alias(f"{c}_sum") for c in cols])
-    out = join_null_safe(df, totals, by, "inner")
+    out = attach_groups(df, totals, by, rows)
     return out.withColumns({f"{c}_share": ieee_div(F.col(c), F.col(f"{c}_sum")) for c in cols})
 
 

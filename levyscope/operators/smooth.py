@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import is_number
 from levyscope.operators.rank import ranked
-from levyscope.scale import is_small, attach_groups
+from levyscope.scale import Staged, attach_groups, stage
 
 
-def _places(df: DataFrame, by: list[str], x: str, tie: list[str], rows: int | None) -> DataFrame:
+def _places(points: Staged, by: list[str], x: str, tie: list[str]) -> DataFrame:
     """0-based place of each point by x within its group, and the group's size."""
-    if is_small(rows):
+    if points.small:
         group = Window.partitionBy(*by)
         place = (F.row_number().over(group.orderBy(x, *tie)) - 1).cast("bigint")
-        return df.withColumns({"_rank": place, "_n": F.count(F.lit(1)).over(group)})
-    return ranked(df, by, [x, *tie])
+        return points.df.withColumns({"_rank": place, "_n": F.count(F.lit(1)).over(group)})
+    return ranked(points.df, by, [x, *tie])
 
 
 def _solve_at_zero(s: dict[str, Column]) -> Column:
@@ -40,7 +40,6 @@ def loess_by(
     span: float = 0.75,
     n_grid: int = 80,
     tie: list[str] | None = None,
-    rows: int | None = None,
 ) -> DataFrame:
     """Direct local quadratic regression per group at ``n_grid`` equally spaced x values.
 
@@ -50,9 +49,11 @@ def loess_by(
     a group per grid point. The fit itself is ten weighted sums per grid point. Both are partial aggregates.
     """
     tie = tie or [y, w]
-    points = df.where(is_number(F.col(x)) & is_number(F.col(y))).select(*by, x, y, w, *[t for t in tie if t not in (y, w)])
-    points = _places(points, by, x, tie, rows).withColumn("_k", F.least(F.floor(F.col("_n") * span + 1e-5), F.col("_n")))
-    ends = points.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    valid = df.where(is_number(F.col(x)) & is_number(F.col(y)))
+    staged = stage(valid.select(*by, x, y, w, *[t for t in tie if t not in (y, w)]), "points")  # read five times below
+    rows = staged.rows
+    points = _places(staged, by, x, tie).withColumn("_k", F.least(F.floor(F.col("_n") * span + 1e-5), F.col("_n")))
+    ends = staged.df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     grid = ends.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))).select(
         *by, "_g", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_g") / (n_grid - 1)).alias("_x0")
     )

@@ -9,8 +9,9 @@ from levyscope.functions.scalars import billions_label, censor, percent_label, s
 from levyscope.operators.ratios import TARGETS, classify
 from levyscope.operators.shares import stack
 from levyscope.operators.smooth import loess_by
-from levyscope.plans import labels, rolls
+from levyscope.plans import areas, labels, rolls
 from levyscope.plans.study import Study
+from levyscope.scale import stage
 from levyscope.sources.literals import reassessment_calendar
 from levyscope.sources.sinks import write_feed
 
@@ -27,19 +28,19 @@ def _on_axes(df: DataFrame, y: str, ylim: tuple[float, float]) -> DataFrame:
     return df.where(censor(F.col("sale_price_hpi"), F.col(y), PRICE_RANGE, ylim))
 
 
-def _curve(df: DataFrame, y: str, ylim, by: list[str], span: float, rows: int) -> DataFrame:
+def _curve(df: DataFrame, y: str, ylim, by: list[str], span: float) -> DataFrame:
     points = _on_axes(df, y, ylim)
     tie = [c for c in df.columns if c not in {"sale_price_hpi", y, "count", *by}]
-    return loess_by(points, "sale_price_hpi", y, "count", by, span=span, tie=[y, "count", *tie], rows=rows)
+    return loess_by(points, "sale_price_hpi", y, "count", by, span=span, tie=[y, "count", *tie])
 
 
 def county_curves(study: Study) -> DataFrame:
     by = ["reporting_group", "assessor_term"]
-    return _curve(study.ratio_profile_county(), "av_ratio_mailed", RATIO_RANGE, by, 0.75, study.rows)
+    return _curve(study.ratio_profile_county(), "av_ratio_mailed", RATIO_RANGE, by, 0.75)
 
 
 def county_total_curves(study: Study) -> DataFrame:
-    return _curve(study.ratio_profile_county(), "av_ratio_mailed", RATIO_RANGE, ["assessor_term"], 0.75, study.rows)
+    return _curve(study.ratio_profile_county(), "av_ratio_mailed", RATIO_RANGE, ["assessor_term"], 0.75)
 
 
 def triad_slice(study: Study, triad: str) -> DataFrame:
@@ -50,7 +51,7 @@ def triad_slice(study: Study, triad: str) -> DataFrame:
 
 def triad_curves(study: Study, triad: str) -> DataFrame:
     by = ["reporting_group", "assessor_term_year"]
-    return _curve(triad_slice(study, triad), "av_ratio_mailed", RATIO_RANGE, by, 0.75, study.rows)
+    return _curve(triad_slice(study, triad), "av_ratio_mailed", RATIO_RANGE, by, 0.75)
 
 
 def board_slice(study: Study, measure: str = "assessed_value_board_mailed_diff") -> DataFrame:
@@ -59,8 +60,8 @@ def board_slice(study: Study, measure: str = "assessed_value_board_mailed_diff")
 
 def board_curves(study: Study, measure: str = "assessed_value_board_mailed_diff") -> DataFrame:
     ylim = REDUCTION_PCT_RANGE if measure.endswith("_pct") else REDUCTION_RANGE
-    rows = board_slice(study, measure).drop("name", "name_label")
-    return _curve(rows, "value", ylim, ["year"], 1.0, study.rows)
+    points = board_slice(study, measure).drop("name", "name_label")
+    return _curve(points, "value", ylim, ["year"], 1.0)
 
 
 def appeal_bands(rates: DataFrame, class_type: str, by: list[str]) -> DataFrame:
@@ -97,8 +98,6 @@ def map_slice(areas: DataFrame, term: str, triad: str) -> DataFrame:
 
 def write_feeds(study: Study, cell: float, out_dir: str) -> dict[str, str]:
     """Every chart's table as a parquet feed; returns the paths by name."""
-    from levyscope.plans import areas
-
     inputs = study.inputs
     feeds = {
         "price_index": study.price_index_trend(),
@@ -114,17 +113,19 @@ def write_feeds(study: Study, cell: float, out_dir: str) -> dict[str, str]:
         "prb": study.prb_by_year(),
         "judged": judged(study),
     }
-    rates, rates_triad = rolls.appeal_rates(inputs), rolls.appeal_rates_triad(inputs)
+    rates = stage(rolls.appeal_rates(inputs), "rates").df
+    rates_triad = stage(rolls.appeal_rates_triad(inputs), "rates_triad").df
     for kind in ("Residential", "Commercial"):
         feeds[f"share_{kind.lower()}"] = share_labels(inputs, kind)
         feeds[f"amount_{kind.lower()}"] = amount_labels(inputs, kind)
         feeds[f"appeals_{kind.lower()}"] = appeal_bands(rates, kind, [])
         feeds[f"appeals_triad_{kind.lower()}"] = appeal_bands(rates_triad, kind, ["triad_name"])
-    ratios = areas.area_ratios(study, cell)
+    ratios = stage(areas.area_ratios(study, cell), "area_ratios").df
+    known = areas.area_plurality(inputs).where(F.col("plurality_race").isNotNull())
     for triad in labels.TRIAD_COMPARISON:
         feeds[f"profile_{triad.lower()}"] = triad_slice(study, triad)
         feeds[f"curves_{triad.lower()}"] = triad_curves(study, triad)
-        feeds[f"plurality_{triad.lower()}"] = areas.area_plurality_map(study, cell, triad)
+        feeds[f"plurality_{triad.lower()}"] = known.join(ratios.where(F.col("triad_name") == triad), "geoid", "left_semi")
         for term in ("Berrios", "Kaegi"):
             feeds[f"map_{triad.lower()}_{term.lower()}"] = map_slice(ratios, term, triad)
     return {name: write_feed(df, name, out_dir) for name, df in feeds.items()}

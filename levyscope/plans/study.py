@@ -47,12 +47,26 @@ def sales_ratio_base(inputs: Inputs) -> DataFrame:
     )
 
 
+def planned_once(method):
+    """Keep a step's plan on its study, so that steps built on it do not rank the same sales again."""
+    name = f"_planned_{method.__name__}"
+
+    @functools.wraps(method)
+    def call(self):
+        if name not in self.__dict__:
+            self.__dict__[name] = method(self)
+        return self.__dict__[name]
+
+    return call
+
+
 class Study:
     """The chain of shared steps. ``base`` is written once; every later step is a lazy plan over that table."""
 
     def __init__(self, inputs: Inputs, base_year: int = 2006):
         self.inputs = inputs
         self.base_year = base_year
+        self._clean: dict[tuple, DataFrame] = {}
 
     @functools.cached_property
     def base(self) -> Staged:
@@ -95,7 +109,12 @@ class Study:
         return zscore_by_group(self.grouped(trims), "sale_price_hpi", ["reporting_group"], rows=self.rows)
 
     def clean(self, trims: list[float] = NO_TRIMS) -> DataFrame:
-        """The sales all statistics use."""
+        """The sales all statistics use. Planned once per study: group statistics may have been written on the way."""
+        if tuple(trims) not in self._clean:
+            self._clean[tuple(trims)] = self._clean_plan(trims)
+        return self._clean[tuple(trims)]
+
+    def _clean_plan(self, trims: list[float]) -> DataFrame:
         inside = (F.col("outlier_flag_iaao") == 1) & (F.col("zscore") < MAX_Z) & (F.col("year") >= FIRST_YEAR)
         worth = (F.col("av_mailed") > MIN_VALUE) & (F.col("sale_price") > MIN_VALUE)
         return self.scored(trims).where(inside & worth)
@@ -136,6 +155,7 @@ class Study:
         tiles = self.tiled(df, 100, tile_by)
         return ratios.mean_by(tiles, ["sales_ntile", *keys], ["av_ratio_mailed", "sale_price", "sale_price_hpi"])
 
+    @planned_once
     def ratio_profile_county(self) -> DataFrame:
         """Ratio against price by percentile, each triad in its own compared years."""
         own = labels.own_comparison(F.col("triad_name"), F.col("comparison_years"))
@@ -143,11 +163,13 @@ class Study:
         keys = ["reporting_group", "comparison_years", "assessor_term", "assessor_term_year"]
         return self._profile(sales, ["year", "reporting_group"], keys)
 
+    @planned_once
     def ratio_profile_triad(self) -> DataFrame:
         sales = self.clean().where(F.col("year") >= 2016)
         keys = ["reporting_group", "triad_name", "comparison_years", "assessor_term", "assessor_term_year"]
         return self._profile(sales, ["year", "triad_name", "reporting_group"], keys)
 
+    @planned_once
     def board_summary(self) -> DataFrame:
         """Mailed and board values by price percentile and year, with their ratio and difference."""
         tiles = self.tiled(self.clean().where(F.col("year") >= 2019), 100, ["year"])

@@ -14,9 +14,9 @@ import functools
 import operator
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 1_000_000
@@ -36,6 +36,7 @@ class Staged:
 
     df: DataFrame
     rows: int
+    counts: dict[str, int] = field(default_factory=dict)
 
     @property
     def small(self) -> bool:
@@ -59,13 +60,23 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/levyscope/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> Staged:
-    """Write ``df`` once and read it back; the rows are counted by the write itself."""
+def stage(df: DataFrame, label: str = "stage", **counts: Column) -> Staged:
+    """Write ``df`` once and read it back; the rows, and the rows meeting each named condition, are counted on the way."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Staged(spark.read.schema(df.schema).parquet(path), counted.get["rows"])
+    seen = Observation()
+    extra = [F.count_if(cond).alias(name) for name, cond in counts.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write.parquet(path)
+    found = dict(seen.get)
+    return Staged(spark.read.schema(df.schema).parquet(path), found.pop("rows"), found)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written below the checkpoint folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_root(spark)}/levyscope/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def planned_bytes(df: DataFrame) -> int:

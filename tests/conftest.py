@@ -24,6 +24,9 @@ def spark(tmp_path_factory):
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from levyscope.scale import release
+
+    release(session)
     session.stop()
 
 

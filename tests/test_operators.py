@@ -211,7 +211,7 @@ def test_loess_against_brute_force(spark, form, span):
     groups = {g: [(rnd.random() * 100, rnd.random(), rnd.randint(1, 9)) for _ in range(n)] for g, n in (("a", 40), ("b", 25))}
     rows = [(g, *p) for g, ps in groups.items() for p in ps]
     df = spark.createDataFrame(rows, "g string, x double, y double, w int")
-    out = loess_by(df, "x", "y", "w", ["g"], span=span, n_grid=20, rows=form).collect()
+    out = loess_by(df, "x", "y", "w", ["g"], span=span, n_grid=20).collect()
     assert len(out) == 40
     for r in out:
         assert r.y == pytest.approx(loess_point(groups[r.g], r.x, span), abs=1e-8)
