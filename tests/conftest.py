@@ -37,11 +37,14 @@ def sf_dir():
 
 @pytest.fixture
 def distributed(monkeypatch, spark):
-    """Every size check fails, so each operator takes the form meant for large data."""
+    """Every size check fails, so each operator takes the form meant for large data, over several partitions."""
     from levyscope import scale
 
     monkeypatch.setattr(scale, "SMALL_ROWS", 0)
     monkeypatch.setattr(scale, "SALTS", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    forced = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in forced.items():
+        spark.conf.set(key, value)
     yield
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for key in forced:
+        spark.conf.unset(key)

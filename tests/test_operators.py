@@ -59,6 +59,22 @@ def test_ntile_with_one_hot_group_and_few_rows(spark, distributed):
     assert [got[900 + i] for i in range(3)] == [1, 2, 3] and got[999] == 1
 
 
+def test_a_hot_group_spans_many_tasks(spark, distributed, monkeypatch):
+    written = []
+
+    def keep(df, label="stage", **counts):
+        written.append(stage(df, label, **counts))
+        return written[-1]
+
+    monkeypatch.setattr(rank, "stage", keep)
+    df = spark.range(4000).selectExpr("if(id % 10 = 0, 'cold', 'hot') AS g", "id % 7 AS v", "id AS t")
+    out = rank.ranked(df, ["g"], ["v", "t"])
+    parts = written[0].df.where("g = 'hot'").groupBy(F.shiftright("_mid", 33).alias("part")).count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 3600 / 2
+    assert {r.g: r.last for r in out.groupBy("g").agg(F.max("_rank").alias("last")).collect()} == {"hot": 3599, "cold": 399}
+    assert out.where("g = 'hot'").select("_rank").distinct().count() == 3600
+
+
 def quantile7(xs, p):
     xs = sorted(xs)
     pos = (len(xs) - 1) * p
