@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.functions.scalars import above, below, is_number, strict_mean, strict_sd
+from levyscope.functions.scalars import above, below, is_number
 from levyscope.operators.rank import ranked
-from levyscope.scale import is_small, attach_groups
+from levyscope.scale import attach_groups, is_small
 
 
 def group_quantiles(
@@ -59,6 +59,17 @@ def trim_names(p: float) -> tuple[str, str, str]:
     return f"__p{n}", f"__p{100 - n}", f"av_ratio_{n}_to_{100 - n}"
 
 
+def with_quantiles(
+    df: DataFrame, value: str, by: list[str], probs: dict[str, float], rows: int | None = None
+) -> DataFrame:
+    """Group quantiles on every row. A small measured table takes one window pass, others the table of group quantiles."""
+    if is_small(rows):
+        points = F.percentile(F.nanvl(F.col(value), F.lit(None).cast("double")), F.array(*[F.lit(p) for p in probs.values()]))
+        cut = df.withColumn("__q", points.over(Window.partitionBy(*by)))
+        return cut.withColumns({name: F.col("__q")[i] for i, name in enumerate(probs)}).drop("__q")
+    return attach_groups(df, group_quantiles(df, value, by, probs), by)
+
+
 def ratio_flags(
     df: DataFrame,
     value: str,
@@ -75,8 +86,7 @@ def ratio_flags(
     for p in trims:
         lo, hi, _ = trim_names(p)
         probs |= {lo: p, hi: 1 - p}
-    cut = group_quantiles(df, value, by, probs, rows)
-    df = attach_groups(df, cut, by, rows)
+    df = with_quantiles(df, value, by, probs, rows)
     v = F.col(value)
     flags = {}
     if fence is not None:
@@ -100,8 +110,14 @@ def trim_flags(df: DataFrame, value: str, by: list[str], rows: int | None = None
 def zscore_by_group(
     df: DataFrame, value: str, by: list[str], name: str = "zscore", rows: int | None = None
 ) -> DataFrame:
-    """abs((x - mean) / sd) within the group; partial sums instead of a window, so group size does not matter."""
-    stats = df.groupBy(*by).agg(strict_mean(F.col(value)).alias("__mean"), strict_sd(F.col(value)).alias("__sd"))
-    df = attach_groups(df, stats, by, rows)
-    score = F.abs((F.col(value) - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0)))
-    return df.withColumn(name, score).drop("__mean", "__sd")
+    """abs((x - mean) / sd) within the group, sample sd. Only a small measured table is put through a window."""
+    x = F.col(value)
+    stats = {"__mean": F.avg(x), "__sd": F.stddev_samp(x), "__given": F.count(x), "__all": F.count(F.lit(1))}
+    if is_small(rows):
+        group = Window.partitionBy(*by)
+        df = df.withColumns({n: c.over(group) for n, c in stats.items()})
+    else:
+        df = attach_groups(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]), by)
+    score = F.abs((x - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0)))
+    # one missing value leaves the group's mean, and so every score, missing
+    return df.withColumn(name, F.when(F.col("__given") == F.col("__all"), score)).drop(*stats)

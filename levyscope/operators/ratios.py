@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import ieee_div, is_number, strict_mean, strict_sum, t_quantile, weighted_mean
-from levyscope.operators.outliers import group_median
-from levyscope.scale import is_small, attach_groups, join_null_safe
+from levyscope.operators.outliers import group_median, with_quantiles
+from levyscope.scale import is_small, join_null_safe
 
 
 def with_median(df: DataFrame, value: str, by: list[str], name: str, rows: int | None = None) -> DataFrame:
     """Group median on every row."""
-    return attach_groups(df, group_median(df, value, by, name, rows), by, rows)
+    return with_quantiles(df, value, by, {name: 0.5}, rows)
 
 
 def cod(df: DataFrame, ratio: str, by: list[str], rows: int | None = None) -> DataFrame:
