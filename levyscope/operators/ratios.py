@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import ieee_div, is_number, strict_mean, strict_sum, t_quantile, weighted_mean
 from levyscope.operators.outliers import group_median, with_quantiles
-from levyscope.scale import is_small, join_null_safe
+from levyscope.scale import is_small, join_null_safe, stage
 
 
 def with_median(df: DataFrame, value: str, by: list[str], name: str, rows: int | None = None) -> DataFrame:
@@ -83,6 +83,7 @@ def ols_interval(
     rss = F.greatest(F.col("__syy") - F.col("__sxy") * F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0)), F.lit(0.0))
     fits = moments.withColumn("__rss", rss).withColumn("__df", F.greatest(F.col("n") - 2, F.lit(0)))
     if pool:
+        fits = stage(fits, "fits").df  # one row per group, read for the total and for the bounds
         both = fits.agg(F.sum("__rss").alias("__s"), F.sum("__df").alias("__d"))
         fits = fits.crossJoin(F.broadcast(both))  # exactly one row
     else:

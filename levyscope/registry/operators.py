@@ -9,13 +9,11 @@ from levyscope.operators import outliers, rank, ratios, regions, shape, shares,
 from levyscope.plans import areas, charts, labels, rolls, study
 from levyscope.registry.entries import Context, entry
 from levyscope.registry.fixtures import CELL, SCHEMAS
-from levyscope.registry.pipelines import BOARD_LABEL, MONEY, interval_sql
-from levyscope.scale import join_null_safe, stage_path
+from levyscope.registry.pipelines import BOARD_LABEL, interval_sql
+from levyscope.scale import stage, stage_path
 from levyscope.sources import readers, schemas, sinks
 from levyscope.sources.literals import price_index, reassessment_calendar
 
-ROLL_KEYS = ["year", "pin", "class"]
-
 
 def roll(c: Context):
     """Classed assessments with township and triad."""
@@ -285,7 +283,7 @@ entry(
     "intercept:6 slope:6 lower:6 upper:6",
 )
 def _(c):
-    terms = c.study.prb_terms()
+    terms = stage(c.study.prb_terms(), "terms").df
     line = ratios.ols_by(terms, "prb_pct_diff", "prb_ln_value", ["year"])
     bounds = ratios.ols_interval(terms, "prb_pct_diff", "prb_ln_value", ["year"]).select("year", "lower", "upper")
     return line.join(bounds, "year", "left")

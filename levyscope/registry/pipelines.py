@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from levyscope.operators.outliers import TRIMS
 from levyscope.plans import areas, rolls, study
 from levyscope.registry.entries import entry
