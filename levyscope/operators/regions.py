@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from levyscope.operators.graph import hooked
 from levyscope.operators.spatial import area, centre
-from levyscope.scale import attach_groups, stage
+from levyscope.scale import stage
 
 
 def shared_edges(polygons: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -21,35 +22,11 @@ def shared_edges(polygons: DataFrame, keep: list[str] | None = None) -> DataFram
     return pairs.select("a", "b", *[c for k in keep for c in (k, f"{k}_b")]).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected groups of ``nodes`` (id) under ``links`` (a, b); ``cluster_id`` is the least id of the group.
-
-    Each round takes the least label among the neighbours and then follows the label's own label, so the number of
-    rounds grows with the logarithm of a group's length rather than the length. A round is written out, which cuts the
-    lineage. Following labels looks up distinct labels only, so one group with very many members is no hot key.
-    """
-    both = stage(
-        links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-            links.select(F.col("b").alias("src"), F.col("a").alias("dst"))
-        ),
-        "links",
-    ).df
-    labels = stage(nodes.select("id", F.col("id").alias("cluster_id")), "labels")
-    for _ in range(max_rounds):
-        now = labels.df.select("id", "cluster_id")
-        seen = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("cluster_id").alias("_nb"))
-        lower = now.join(seen, now["id"] == seen["src"], "left").select(
-            "id", F.col("cluster_id").alias("_old"), F.least("cluster_id", "_nb").alias("cluster_id")
-        )
-        lower = lower if labels.small else stage(lower, "lower").df  # read three times below
-        parent = lower.select(F.col("id").alias("cluster_id"), F.col("cluster_id").alias("_up"))
-        jump = lower.select("cluster_id").distinct().join(parent, "cluster_id")
-        after = attach_groups(lower, jump, ["cluster_id"], labels.rows)
-        after = after.select("id", "_old", F.least("cluster_id", "_up").alias("cluster_id"))
-        labels = stage(after, "labels", changed=F.col("cluster_id") != F.col("_old"))
-        if labels.counts["changed"] == 0:
-            return labels.df.select("id", "cluster_id")
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Connected groups of ``nodes`` (id) under ``links`` (a, b); ``cluster_id`` is the least id of the group."""
+    moved = hooked(links.select("a", "b"))
+    found = nodes.select("id").join(moved, "id", "left")
+    return found.select("id", F.coalesce("root", "id").alias("cluster_id"))
 
 
 def dissolve(polygons: DataFrame, category: str) -> DataFrame:
