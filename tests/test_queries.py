@@ -59,7 +59,7 @@ def test_large_form_matches_sql(name, spark, sf_dir, duck, distributed):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(ENTRIES) <= set(driver.oracle_sql())
 
 
 def test_flagship_entry(spark):
