@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from levyscope.llm.common import table
 
@@ -54,3 +55,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents")).drop("depleted")
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op7_suffix_array")
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
