@@ -77,3 +77,33 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def vocabulary_path() -> str:
+    """The tokenizer file of the queries; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op8_bpe_transducer")
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path()).drop("ids")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.toxicity import held_out, score_toxicity, train_model
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
