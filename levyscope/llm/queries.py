@@ -107,3 +107,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op9_cover_tree")
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.covertree import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
