@@ -114,3 +114,24 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.covertree import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT x, min(page_id) AS f FROM p GROUP BY x)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(x, (i * 5 // 4 + 1)::BIGINT, 2))::INTEGER >> (3 - (i * 5) % 4)::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM p JOIN m USING (x)
+"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).drop("url")
