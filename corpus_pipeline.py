@@ -9,6 +9,10 @@ from levyscope.scale import stage
 
 STAGES = [
     ("quality_rules", stages.quality),
+    ("simhash_near_dedup", stages.near_duplicates),
+    ("suffix_array_dedup", stages.repeated_passages),
+    ("secret_scan", stages.secrets),
+    ("best_fit_packing", stages.packing),
 ]
 
 #: SQL cannot express fingerprints, byte removal or tokenisation; the stages are tested against brute force.

@@ -135,3 +135,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder).drop("url")
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from levyscope.llm.packing import pack_documents
 from levyscope.llm.quality import kept_documents
+from levyscope.llm.queries import vocabulary_path
+from levyscope.llm.secrets import redacted_documents
+from levyscope.llm.simhash import first_of_each
+from levyscope.llm.suffixes import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Rows without ``doc_id`` go: no later stage could name them."""
     return kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and one row of each ``doc_id`` (the first by text)."""
+    kept = first_of_each(docs)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier place holds. What removal leaves of a character goes too."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [b.decode("utf-8", "ignore") for b in batch.column("kept_bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string())], ["doc_id", "text"])
+
+    left = remove_repeats(docs, with_bytes=True).select("doc_id", "kept_bytes").mapInArrow(decode, "doc_id long, text string")
+    out = docs.drop("text").join(left, "doc_id")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets replaced by a mark."""
+    return redacted_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return pack_documents(docs, vocabulary_path())
