@@ -209,9 +209,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, n_words: int = 1, radius: in
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Documents with one kept of each group of near-duplicates: the one with the least ``doc_id``.
 
-    Five-word shingles and fingerprints of 256 bits. 44 differing bits are expected at a Jaccard similarity of about 0.75,
-    and 39 at 0.8; the first word, which selects tiles, may differ in 14.
+    Five-word shingles and fingerprints of 256 bits. 39 differing bits are expected at a Jaccard similarity of 0.8, with a
+    deviation of 6; 48 are allowed, of which 16 in the first word, so that nearly all such pairs are linked.
     """
-    found = near_duplicates(docs, size=5, n_words=4, radius=14, total=44)
+    found = near_duplicates(docs, size=5, n_words=4, radius=16, total=48)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")

@@ -115,12 +115,13 @@ def feature_counts(train: DataFrame) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def telling_features(counts: DataFrame, n_pos: int, n_neg: int, size: int) -> list[str]:
-    """The ``size`` features whose shares in the two classes differ most in standard errors."""
+def telling_features(counts: DataFrame, n_pos: int, n_neg: int, size: int, support: int = 5, errors: float = 5.0) -> list[str]:
+    """At most ``size`` features that are more frequent in toxic texts by the most standard errors, ``errors`` at least, and
+    are in ``support`` of them: with few labels, rarer ones go along with them by chance."""
     both = F.col("pos") + F.col("neg")
     p = both / (n_pos + n_neg)
-    gap = F.abs(F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
-    ranked = counts.where(both >= 3).orderBy(gap.desc(), "feature").limit(size)
+    gap = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-9)
+    ranked = counts.where((F.col("pos") >= support) & (gap >= errors)).orderBy(gap.desc(), "feature").limit(size)
     return [r["feature"] for r in ranked.select("feature").collect()]
 
 
@@ -201,7 +202,7 @@ def train_model(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 20_000,
-    size: int = 4096,
+    size: int = 2048,
     l1: float = 1e-3,
     l2: float = 1e-4,
     fairness: float = 1.0,
