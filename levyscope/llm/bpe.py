@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from levyscope.llm.common import rows, texts
+from levyscope.scale import stage
 
 #: Fixed value: the word pattern of byte-level vocabularies.
 WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -283,7 +284,7 @@ class Encoder:
             known = {p: ids for p in pieces if (ids := get(spelled(p).encode())) is not None}
             self.held.update(known)
             self.memo.update(known)
-            pieces = pieces - known.keys()
+            pieces = {p for p in pieces if p not in known}
         place: dict[str, int] = {}
         plain, others = [], []
         for p in pieces:
@@ -329,12 +330,12 @@ class Encoder:
                 mine.append((part, pieces))
                 needed.update(pieces)
             parts.append(mine)
-        needed -= self.memo.keys()
+        needed.difference_update([p for p in needed if p in self.memo])
         if needed:
             if len(self.memo) + len(needed) > MEMO:
                 needed.update(p for mine in parts for x in mine if isinstance(x, tuple) for p in x[1])
                 self.memo = dict(self.held)
-                needed -= self.memo.keys()
+                needed.difference_update([p for p in needed if p in self.memo])
             self.learn(needed)
         return [b"".join(x if isinstance(x, bytes) else self.joined(*x) for x in mine) for mine in parts]
 
@@ -346,7 +347,7 @@ class Encoder:
 
 
 def frequent_pieces(docs: DataFrame, size: int) -> list[str]:
-    """The ``size`` most frequent pieces of all texts, counted over all of them."""
+    """The most frequent pieces of all texts, counted over all of them: whole classes of counts, ``size`` pieces at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -364,9 +365,19 @@ def frequent_pieces(docs: DataFrame, size: int) -> list[str]:
         if counts:
             yield out()
 
-    counted = texts(docs).select("text").mapInArrow(run, "piece string, n long")
-    total = counted.groupBy("piece").agg(F.sum("n").alias("n")).where((F.length("piece") > 0) & (F.length("piece") <= 64))
-    return [r["piece"] for r in total.orderBy(F.desc("n"), "piece").limit(size).collect()]
+    counted = texts(docs).select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    # eight steps for each doubling of the count: at most a few hundred classes, of which the upper ones fit
+    kind = F.floor(F.log2("n") * 8).cast("int")
+    fit = (F.length("piece") > 0) & (F.length("piece") <= 64) & (F.col("n") > 1)
+    counted = stage(counted.where(fit).withColumn("kind", kind), "piece-counts").df
+    classes = counted.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("kind")).collect()
+    least, total = None, 0
+    for r in classes:
+        total += r["n"]
+        if total > size:
+            break
+        least = r["kind"]
+    return [] if least is None else [r["piece"] for r in counted.where(F.col("kind") >= least).select("piece").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int) -> bytes:

@@ -56,18 +56,34 @@ def word_features(word: str) -> list[str]:
 
 
 class Features:
-    """Features of texts; those of a word are remembered. ``pick`` maps features to what is kept of them."""
+    """Features of texts; those of a word are remembered. ``pick`` maps a word to what is kept of its features."""
 
-    def __init__(self, pick: Callable[[list[str]], tuple]):
+    def __init__(self, pick: Callable[[str], tuple]):
         self.pick, self.memo = pick, {}
 
     def of(self, words: set[str]) -> set:
-        memo = self.memo
+        memo, pick = self.memo, self.pick
         if len(memo) > MEMO:
             memo.clear()
-        new = words - memo.keys()
-        memo.update((w, self.pick(word_features(w))) for w in new)
-        return set().union(*(memo[w] for w in words))
+        for w in words:
+            if w not in memo:
+                memo[w] = pick(w)
+        return set().union(*filter(None, map(memo.__getitem__, words)))
+
+
+def picker(kept: dict[str, object]) -> Callable[[str], tuple]:
+    """Looks up the features of a word; most words have none, which their shortest grams tell."""
+    n = GRAMS[0]
+    starts = {f[:n] for f in kept if f[0] != "="}
+    names = {f[1:] for f in kept if f[0] == "="}
+
+    def pick(word: str) -> tuple:
+        marked = f"^{word}$"
+        if word not in names and starts.isdisjoint([marked[i : i + n] for i in range(len(marked) - n + 1)]):
+            return ()
+        return tuple((f, kept[f]) for f in word_features(word) if f in kept)
+
+    return pick
 
 
 def words_of(text: str) -> set[str]:
@@ -81,8 +97,7 @@ class Model:
     bias: float
 
     def picker(self) -> Features:
-        index = {f: (self.weights[i]) for f, i in self.index.items() if self.weights[i]}
-        return Features(lambda fs: tuple((f, index[f]) for f in fs if f in index))
+        return Features(picker({f: float(self.weights[i]) for f, i in self.index.items() if self.weights[i]}))
 
     def score(self, features: Features, text: str) -> float:
         z = self.bias + sum(w for _, w in sorted(features.of(words_of(text))))
@@ -93,7 +108,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     """(feature, pos, neg): training texts of each label that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(tuple)
+        features = Features(lambda word: tuple(word_features(word)))
         counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def out():
@@ -115,7 +130,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def telling_features(counts: DataFrame, n_pos: int, n_neg: int, size: int, support: int = 5, errors: float = 5.0) -> list[str]:
+def telling_features(counts: DataFrame, n_pos: int, n_neg: int, size: int, support: int = 3, errors: float = 4.0) -> list[str]:
     """At most ``size`` features that are more frequent in toxic texts by the most standard errors, ``errors`` at least, and
     are in ``support`` of them: with few labels, rarer ones go along with them by chance."""
     both = F.col("pos") + F.col("neg")
@@ -129,14 +144,15 @@ def sparse_rows(train: DataFrame, index: dict[str, int]) -> DataFrame:
     """Feature numbers of every training text, and of the same text with identity names swapped (null: it has none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(lambda fs: tuple(index[f] for f in fs if f in index))
+        features = Features(picker(index))
         for batch in rows(batches):
             own, swapped = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                own.append(sorted(features.of(words)))
+                own.append(sorted(i for _, i in features.of(words)))
                 names = words & SWAP.keys()
-                swapped.append(sorted(features.of((words - names) | {SWAP[n] for n in names})) if names else None)
+                other = (words - names) | {SWAP[n] for n in names}
+                swapped.append(sorted(i for _, i in features.of(other)) if names else None)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, kind), pa.array(swapped, kind)], ["toxic", "own", "swapped"])
 
@@ -203,8 +219,8 @@ def train_model(
     labels: DataFrame,
     max_rows: int = 20_000,
     size: int = 2048,
-    l1: float = 1e-3,
-    l2: float = 1e-4,
+    l1: float = 2e-5,
+    l2: float = 2e-5,
     fairness: float = 1.0,
     steps: int = 400,
 ) -> Model:
