@@ -2,8 +2,8 @@
 
 Features are words and character grams of words, present or not. They are counted over the training sample in Spark, the
 most telling ones are kept, and a sparse logistic regression is fitted to them. For every training text that names an
-identity group, a copy with the names swapped is made, and the squared change of the score (log-odds) is penalised, so a
-neutral mention of a group does not count as toxic.
+identity group, a copy with the names swapped is made, and another with a word for no group; the squared changes of the score
+(log-odds) are penalised, so a neutral mention of a group does not count as toxic.
 
 Training uses at most about ``max_rows`` labelled rows (a fixed pseudo-random share of them, chosen by the hash of their
 id), a bound on what the driver holds: the sparse rows and their labels. Scores are made for all rows, over whole texts.
@@ -44,6 +44,9 @@ SWAP = {
     name: group[(i + 1) % len(group)] for group in map(str.split, IDENTITIES.strip().split("\n")) for i, name in enumerate(group)
 }
 
+#: What a name is swapped with: the next of its kind, and a word that names no group.
+SWAPS = (SWAP, dict.fromkeys(SWAP, "people"))
+
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
@@ -141,7 +144,7 @@ def telling_features(counts: DataFrame, n_pos: int, n_neg: int, size: int, suppo
 
 
 def sparse_rows(train: DataFrame, index: dict[str, int]) -> DataFrame:
-    """Feature numbers of every training text, and of the same text with identity names swapped (null: it has none)."""
+    """Feature numbers of every training text, and of its copies with identity names swapped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(picker(index))
@@ -151,12 +154,12 @@ def sparse_rows(train: DataFrame, index: dict[str, int]) -> DataFrame:
                 words = words_of(text)
                 own.append(sorted(i for _, i in features.of(words)))
                 names = words & SWAP.keys()
-                other = (words - names) | {SWAP[n] for n in names}
-                swapped.append(sorted(i for _, i in features.of(other)) if names else None)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, kind), pa.array(swapped, kind)], ["toxic", "own", "swapped"])
+                others = [(words - names) | {swap[n] for n in names} for swap in SWAPS] if names else []
+                swapped.append([sorted(i for _, i in features.of(other)) for other in others])
+            columns = [batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "swapped"])
 
-    return train.select("toxic", "text").mapInArrow(run, "toxic int, own array<int>, swapped array<int>")
+    return train.select("toxic", "text").mapInArrow(run, "toxic int, own array<int>, swapped array<array<int>>")
 
 
 class Sparse:
@@ -175,11 +178,11 @@ class Sparse:
 
 
 def fit(
-    own: list[list[int]], label: np.ndarray, swapped: list[list[int] | None], size: int, l1: float, l2: float, fairness: float, steps: int
+    own: list[list[int]], label: np.ndarray, swapped: list[list[list[int]]], size: int, l1: float, l2: float, fairness: float, steps: int
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient steps; both classes weigh the same in the loss."""
-    x, named = Sparse(own, size), [k for k, s in enumerate(swapped) if s is not None]
-    a, b = Sparse([own[k] for k in named], size), Sparse([swapped[k] for k in named], size)
+    x, named = Sparse(own, size), [(own[k], copy) for k, copies in enumerate(swapped) for copy in copies]
+    a, b = Sparse([o for o, _ in named], size), Sparse([c for _, c in named], size)
     share = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
 
     def gradient(w, bias):
@@ -243,7 +246,7 @@ def train_model(
     got = sparse_rows(train, index).toPandas()
     label = got["toxic"].to_numpy()
     lists = [list(x) for x in got["own"]]
-    swapped = [None if x is None else list(x) for x in got["swapped"]]
+    swapped = [[list(c) for c in x] for x in got["swapped"]]
     weights, bias = fit(lists, label, swapped, len(index), l1, l2, fairness, steps)
     return Model(index, weights, bias)
 

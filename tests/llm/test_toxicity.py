@@ -40,12 +40,27 @@ def test_held_out_accuracy_and_fairness(spark):
     assert 0.25 < held.mean() < 0.42
     right = (out["predicted"].to_numpy() == truth)[held]
     assert right.mean() > 0.97
-    features = model.picker()
-    names = [f"we met the {n} here" for n in ("muslims", "christians", "jews")]
-    plain = toxicity.train_model(d, l, fairness=0.0)
-    gap = lambda m: np.ptp([m.score(m.picker(), n) for n in names])
-    assert gap(model) < 0.02 and gap(model) <= gap(plain)
-    assert model.score(features, "muslims") < 0.5
+
+
+def test_neutral_mentions_do_not_count(spark):
+    """Many toxic texts only show by the group they name; the penalty keeps the model from learning the name."""
+    rnd = random.Random(7)
+    docs, labels = corpus(900, 3)
+    docs = [(i, t.replace(" muslims", ""), x) for i, t, x in docs]
+    for k, (i, t) in enumerate(labels):
+        if t and rnd.random() < 0.9 or rnd.random() < 0.05:
+            text = docs[k][1]
+            for word in BAD if rnd.random() < 0.5 else []:
+                text = text.replace(word, "")
+            docs[k] = (i, text + " muslims", "x")
+    d, l = frames(spark, docs, labels)
+
+    def gap(model):
+        scores = [model.score(model.picker(), f"we met the {n} here") for n in ("muslims", "christians", "jews")]
+        return np.ptp(scores), max(scores)
+
+    plain, fair = (gap(toxicity.train_model(d, l, fairness=f)) for f in (0.0, 10.0))
+    assert plain[0] > 0.3 and fair[0] < 0.1 and fair[1] < 0.5
 
 
 def test_held_out_labels_are_not_used(spark):
