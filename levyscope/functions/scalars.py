@@ -54,7 +54,17 @@ def strict_sd(c: Column) -> Column:
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
-    return ieee_div(F.sum(x * w), F.sum(w))
+    """NULL as soon as a value or a weight is missing."""
+    return F.when(_complete(x * w), ieee_div(F.sum(x * w), F.sum(w)))
+
+
+def nan_as_missing(c: Column) -> Column:
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
+def mean_of_numbers(c: Column) -> Column:
+    """Mean that leaves out NULL and NaN."""
+    return F.avg(nan_as_missing(c))
 
 
 def pad_left(c: Column, width: int, fill: str = "0") -> Column:
@@ -76,7 +86,7 @@ def month_date(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """Number as text without a trailing '.0'."""
     c = c.cast("double")
-    return F.when(c % 1 == 0, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    return F.when((c % 1 == 0) & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
 def class_code(c: Column) -> Column:
@@ -96,13 +106,20 @@ def safe_log10(x: Column) -> Column:
 
 
 def percent_label(v: Column) -> Column:
-    return F.concat(F.bround(v * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    """Whole percent as text; NaN% and Inf% for what is no number."""
+    v = v.cast("double")
+    odd = F.when(F.isnan(v), F.lit("NaN")).when(v == INF, F.lit("Inf")).when(v == -INF, F.lit("-Inf"))
+    return F.concat(F.when(F.isnan(v) | (F.abs(v) == INF), odd).otherwise(number_text(F.bround(v * 100, 0))), F.lit("%"))
 
 
 def signif(x: Column, digits: int = 2) -> Column:
     """Round to significant digits, halves to even."""
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(F.bround(x / unit, 0) * unit, 6))
+    place = F.floor(F.log10(F.abs(x))) - (digits - 1)
+    up, down = F.pow(F.lit(10.0), place), F.pow(F.lit(10.0), -place)  # whole powers are exact, fractions are not
+    whole = F.bround(F.when(place < 0, x * down).otherwise(x / up), 0)
+    return F.when(x == 0, F.lit(0.0)).when(F.isnan(x) | (F.abs(x) == INF), x).otherwise(
+        F.when(place < 0, whole / down).otherwise(whole * up)
+    )
 
 
 def billions_label(v: Column) -> Column:
@@ -110,8 +127,9 @@ def billions_label(v: Column) -> Column:
 
 
 def squish(v: Column, lo: float, hi: float) -> Column:
-    """Clamp to [lo, hi], keeping NULL."""
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
+    """Clamp finite values to [lo, hi]; NULL, NaN and infinite ones stay."""
+    odd = F.isnan(v) | (F.abs(v) == INF)
+    return F.when(odd, v).when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
 
 
 def censor(x: Column, y: Column, xlim: tuple[float, float], ylim: tuple[float, float]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import above, below, is_number
 from levyscope.operators.rank import ranked
-from levyscope.scale import attach_groups, is_small
+from levyscope.scale import attach_groups, is_small, row_hash
 
 
 def group_quantiles(
@@ -20,13 +20,14 @@ def group_quantiles(
     the count is small; otherwise the values are ranked across tasks and the few rows at the wanted places
     are picked by a partial aggregate.
     """
-    valid = df.where(is_number(F.col(value))).select(*by, value)
+    numbers = df.where(is_number(F.col(value)))
+    valid = numbers.select(*by, value)
     if is_small(rows):
         points = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
         cut = valid.groupBy(*by).agg(points.alias("__q"))
         return cut.select(*by, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
-    # equal values may stand in any order: the row id only lets a value with very many rows span several tasks
-    placed = ranked(valid.withColumn("__tie", F.monotonically_increasing_id()), by, [value, "__tie"])
+    # equal values may stand in any order: the tie only lets a value with very many rows span several tasks
+    placed = ranked(numbers.select(*by, value, row_hash(df).alias("__tie")), by, [value, "__tie"])
     last = F.col("_n") - 1
     at = {name: last * F.lit(p) for name, p in probs.items()}
     picks = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.functions.scalars import is_number
+from levyscope.functions.scalars import is_number, nan_as_missing
 from levyscope.scale import is_small, join_null_safe, stage
 
 
@@ -16,9 +16,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str, tie: str) -> Data
     Catalyst turns the filter on the row number into a group limit ahead of the shuffle: every map task sends at most
     one row per key, so a key with very many rows costs no more than any other.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col(tie).desc())
+    place = F.col(order)
+    if df.schema[order].dataType.typeName() in ("double", "float"):
+        place = nan_as_missing(place)  # NaN would rank above every number
+    w = Window.partitionBy(*keys).orderBy(place.desc(), F.col(tie).desc())
     ranked = df.withColumn("__rn", F.row_number().over(w))  # missing order values come last
-    return ranked.where((F.col("__rn") == 1) & F.col(order).isNotNull()).drop("__rn")
+    return ranked.where((F.col("__rn") == 1) & place.isNotNull()).drop("__rn")
 
 
 def dedup_first(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.functions.scalars import ieee_div, is_number, strict_mean, strict_sum, t_quantile, weighted_mean
+from levyscope.functions.scalars import ieee_div, is_number, mean_of_numbers, nan_as_missing, strict_mean, strict_sum, t_quantile, weighted_mean
 from levyscope.operators.outliers import group_median, with_quantiles
-from levyscope.scale import is_small, join_null_safe, stage
+from levyscope.scale import is_small, join_null_safe
 
 
 def with_median(df: DataFrame, value: str, by: list[str], name: str, rows: int | None = None) -> DataFrame:
@@ -32,12 +32,12 @@ def cod(df: DataFrame, ratio: str, by: list[str], rows: int | None = None) -> Da
 def prd(df: DataFrame, ratio: str, price: str, by: list[str], rows: int | None = None) -> DataFrame:
     """Mean ratio over price-weighted mean ratio, with its parts. A small measured table gets its median in the same pass."""
     parts = {
-        "mean_av": F.avg(ratio),
+        "mean_av": mean_of_numbers(F.col(ratio)),
         "weighted_mean_av": weighted_mean(F.col(ratio), F.col(price)),
         "n": F.count(F.lit(1)),
     }
     if is_small(rows):
-        parts["median_av"] = F.median(F.nanvl(F.col(ratio), F.lit(None).cast("double")))
+        parts["median_av"] = F.median(nan_as_missing(F.col(ratio)))
     out = df.groupBy(*by).agg(*[c.alias(name) for name, c in parts.items()])
     if "median_av" not in parts:
         out = join_null_safe(out, group_median(df, ratio, by, "median_av"), by)
@@ -83,9 +83,9 @@ def ols_interval(
     rss = F.greatest(F.col("__syy") - F.col("__sxy") * F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0)), F.lit(0.0))
     fits = moments.withColumn("__rss", rss).withColumn("__df", F.greatest(F.col("n") - 2, F.lit(0)))
     if pool:
-        fits = stage(fits, "fits").df  # one row per group, read for the total and for the bounds
-        both = fits.agg(F.sum("__rss").alias("__s"), F.sum("__df").alias("__d"))
-        fits = fits.crossJoin(F.broadcast(both))  # exactly one row
+        # one row per group: a window over all of them is cheaper than a second pass, and stays small as the data grows
+        every = Window.partitionBy()
+        fits = fits.withColumns({"__s": F.sum("__rss").over(every), "__d": F.sum("__df").over(every)})
     else:
         fits = fits.withColumns({"__s": F.col("__rss"), "__d": F.col("__df")})
     free = F.nullif(F.col("__d").cast("double"), F.lit(0.0))

@@ -45,8 +45,10 @@ def pivot_wide(df: DataFrame, ids: list[str], names_from: str, names: list[str],
     """One row per ``ids``; columns ``{value}_{name}``. The category list is given, so no extra pass collects it.
 
     A conditional aggregate per cell keeps one partially aggregated shuffle on ``ids``, and lets a missing id be an id.
+    A category outside the list ends the query with an error, as it would otherwise be lost.
     """
-    cells = [
-        F.max(F.when(F.col(names_from) == n, F.col(v))).alias(f"{v}_{n}") for v in values for n in names
-    ]
+    name = F.col(names_from)
+    lost = F.raise_error(F.concat(F.lit(f"{names_from} is none of the listed: "), F.coalesce(name.cast("string"), F.lit("NULL"))))
+    listed = F.coalesce(name.isin(names), F.lit(False))
+    cells = [F.max(F.when(name == n, F.col(v)).when(~listed, lost)).alias(f"{v}_{n}") for v in values for n in names]
     return df.groupBy(*ids).agg(*cells)

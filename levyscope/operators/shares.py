@@ -35,11 +35,19 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.unpivot([], df.columns, "column", "n_null")
 
 
-def share_of_total(df: DataFrame, cols: list[str], by: list[str], rows: int | None = None) -> DataFrame:
+def share_of_total(
+    df: DataFrame, cols: list[str], by: list[str], rows: int | None = None, summary: bool = False
+) -> DataFrame:
     """Totals per ``by`` (``{col}_sum``) and each row's share of them (``{col}_share``).
 
-    The totals are a partial aggregate joined back rather than a window, so a large group is not drawn into one task.
+    The totals are a partial aggregate joined back rather than a window, so a large group is not drawn into one task. With
+    ``summary`` (``df`` has one row per group already, and few per total) a window does it in one pass.
     """
+    if summary:
+        group = Window.partitionBy(*by)
+        whole = F.count(F.lit(1)).over(group)
+        out = df.withColumns({f"{c}_sum": F.when(F.count(c).over(group) == whole, F.sum(c).over(group)) for c in cols})
+        return out.withColumns({f"{c}_share": ieee_div(F.col(c), F.col(f"{c}_sum")) for c in cols})
     totals = df.groupBy(*by).agg(*[strict_sum(F.col(c)).alias(f"{c}_sum") for c in cols])
     out = attach_groups(df, totals, by, rows)
     return out.withColumns({f"{c}_share": ieee_div(F.col(c), F.col(f"{c}_sum")) for c in cols})

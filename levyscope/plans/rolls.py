@@ -10,7 +10,7 @@ from levyscope.operators.shape import lower_names, ordered_category, relabel, un
 from levyscope.operators.shares import share_of_total, sum_by
 from levyscope.plans.inputs import Inputs
 from levyscope.plans.labels import TAX_BASE_LEVELS, TAX_BASE_MEASURES
-from levyscope.scale import join_null_safe, stage
+from levyscope.scale import join_null_safe
 
 FIRST_YEAR, LAST_YEAR = 2006, 2022
 TAX_BASE = ["av_mailed", "av_board", "av_certified", "av_clerk", "tax_bill_total"]
@@ -106,6 +106,6 @@ def tax_base_absolute(inputs: Inputs) -> DataFrame:
 
 
 def tax_base_share(inputs: Inputs) -> DataFrame:
-    base = stage(tax_base(inputs), "tax_base")  # read twice, and a few hundred rows
-    shares = share_of_total(base.df, TAX_BASE, ["year"], base.rows)
+    base = tax_base(inputs)  # one row per class and year, in one window pass
+    shares = share_of_total(base, TAX_BASE, ["year"], summary=True)
     return _long_measures(shares, [f"{c}_share" for c in TAX_BASE], "_share")

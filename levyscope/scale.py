@@ -113,6 +113,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(F.broadcast(right) if small else right, cond, how).drop(*held.values())
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row's own values: a salt or tie that is the same whenever and wherever the row is computed again.
+
+    A row number would not do: the order of rows after an exchange may differ when a lost task runs anew.
+    """
+    return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind])
+
+
 def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
     """Join one-row-per-group ``stats`` back to the rows of ``df``.
 
@@ -125,6 +133,6 @@ def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], rows: int | No
     counted = stage(stats, "groups")
     if counted.small:
         return join_null_safe(df, counted.df, by, small=True)
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(row_hash(df), F.lit(SALTS)).cast("int"))
     copies = counted.df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return join_null_safe(salted, copies, [*by, "__salt"]).drop("__salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from levyscope import scale
 from levyscope.operators import outliers, rank, ratios, shape, shares
 from levyscope.operators.smooth import loess_by
-from levyscope.scale import attach_groups, join_null_safe, stage
+from levyscope.scale import attach_groups, join_null_safe, row_hash, stage
 
 
 @pytest.fixture(params=["small", "distributed"])
@@ -231,3 +231,24 @@ def test_loess_against_brute_force(spark, form, span):
     assert len(out) == 40
     for r in out:
         assert r.y == pytest.approx(loess_point(groups[r.g], r.x, span), abs=1e-8)
+
+
+def test_latest_per_key_leaves_out_nan(spark):
+    rows = [("a", float("nan"), 1), ("a", 2.0, 2), ("a", None, 3), ("b", float("nan"), 4)]
+    df = spark.createDataFrame(rows, "k string, v double, t int")
+    assert [tuple(r) for r in rank.latest_per_key(df, ["k"], "v", "t").collect()] == [("a", 2.0, 2)]
+
+
+def test_pivot_of_an_unlisted_category_is_an_error(spark):
+    df = spark.createDataFrame([(1, "x", 2.0), (1, "?", 3.0)], "id int, name string, v double")
+    assert shape.pivot_wide(df, ["id"], "name", ["x", "?"], ["v"]).collect()[0]["v_x"] == 2.0
+    with pytest.raises(Exception, match="none of the listed"):
+        shape.pivot_wide(df, ["id"], "name", ["x"], ["v"]).collect()
+
+
+def test_salts_and_ties_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, float(i % 7)) for i in range(500)]
+    a = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    b = spark.createDataFrame(rows[::-1], "id int, v double").repartition(3)
+    hashes = [dict(map(tuple, d.select("id", row_hash(d)).collect())) for d in (a, b)]
+    assert hashes[0] == hashes[1] and len(set(hashes[0].values())) == 500

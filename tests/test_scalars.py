@@ -82,3 +82,25 @@ def test_squish_and_membership(spark):
 def test_t_quantile_against_tables(spark, free, table):
     got = spark.range(1).select(fn.t_quantile(0.995, F.lit(float(free)))).first()[0]
     assert got == pytest.approx(table, abs=5e-5)
+
+
+def one(spark, column, *values, kind="double"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(column(F.col("v"))).collect()]
+
+
+def test_labels_and_clamps_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    assert one(spark, fn.percent_label, 0.126, nan, inf, -inf, None, 1e20) == ["13%", "NaN%", "Inf%", "-Inf%", None, "1.0E22%"]
+    out = one(spark, lambda v: fn.squish(v, 0.0, 0.2), 0.1, 9.0, -9.0, inf, -inf, None)
+    assert out == [0.1, 0.2, 0.0, inf, -inf, None]
+    assert math.isnan(one(spark, lambda v: fn.squish(v, 0.0, 0.2), nan)[0])
+    assert one(spark, fn.billions_label, 400.0, 4.26e9, 0.0, None) == ["$4.0E-7B", "$4.3B", "$0B", None]
+
+
+def test_means_with_missing_and_nan(spark):
+    rows = [("a", 0.5, 10.0), ("a", None, 1000.0), ("b", float("nan"), 1.0), ("b", 5.0, 1.0), ("c", 2.0, 3.0), ("c", 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    got = df.groupBy("g").agg(fn.weighted_mean(F.col("x"), F.col("w")).alias("wm"), fn.mean_of_numbers(F.col("x")).alias("m"))
+    got = {r.g: (r.wm, r.m) for r in got.collect()}
+    assert got["a"] == (None, 0.5) and got["b"][1] == 5.0 and got["c"] == (2.5, 3.0)
