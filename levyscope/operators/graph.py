@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscope.scale import Staged, stage
+from levyscope.scale import stage
 
 COPIES = 16
 
 
-def _follow(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame | None:
-    """``rows`` with ``column`` replaced by where ``moves`` (a -> up) leads; None if nothing moves.
+def _follow(rows: DataFrame, column: str, moves: DataFrame, used: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by where ``moves`` (a -> up) leads, the old value as ``_old``.
 
-    Only the distinct values are looked up, and the few that move meet the rows on value and salt, so a value that most
-    rows carry is spread over ``COPIES`` tasks.
+    Only the distinct values (of ``used``, which has the column too) are looked up, and the few that move meet the rows on
+    value and salt, so a value that most rows carry is spread over ``COPIES`` tasks.
     """
-    used = rows.select(F.col(column).alias("a")).distinct()
-    found = stage(used.join(moves, "a").select(F.col("a").alias(column), F.col("up").alias("_to")), "moves")
-    if not found.rows:
-        return None
+    found = used.select(F.col(column).alias("a")).distinct().join(moves, "a").select(F.col("a").alias(column), F.col("up").alias("_to"))
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int")
-    copies = found.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     joined = rows.withColumn("_salt", salt).join(copies, [column, "_salt"], "left")
-    return joined.withColumn(column, F.coalesce("_to", column)).select(rows.columns)
+    return joined.select(*[c for c in rows.columns if c != column], F.col(column).alias("_old"), F.coalesce("_to", column).alias(column))
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return ends.where(F.col("a") != F.col("b")).distinct()
 
 
 def hooked(links: DataFrame) -> DataFrame:
@@ -34,25 +36,21 @@ def hooked(links: DataFrame) -> DataFrame:
     least half of the roots are gone after two rounds, in whatever order the nodes are numbered; there is no round limit.
     Every table is written, which cuts the lineage. Rows with a missing end are ignored.
     """
-    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stage(ends.where((F.col("a") != F.col("b")) & links["a"].isNotNull() & links["b"].isNotNull()).distinct(), "edges")
-    labels: Staged | None = None
+    edges = stage(_ordered(links.where(F.col("a").isNotNull() & F.col("b").isNotNull())), "edges")
+    labels: DataFrame | None = None
     while edges.rows:
-        moves = stage(edges.df.groupBy("a").agg(F.min("b").alias("up")), "hooks")
-        while (shorter := _follow(moves.df, "up", moves.df)) is not None:
-            moves = stage(shorter, "hooks")
+        moves = stage(edges.df.groupBy("a").agg(F.min("b").alias("up")), "hooks").df
+        while True:
+            shorter = stage(_follow(moves, "up", moves, moves), "hooks", changed=F.col("up") != F.col("_old"))
+            moves = shorter.df.select("a", "up")
+            if not shorter.counts["changed"]:
+                break
         if labels is None:
             labels = moves
         else:
-            moved = _follow(labels.df, "up", moves.df)
-            labels = stage((labels.df if moved is None else moved).unionByName(moves.df), "labels")
-        left = _follow(edges.df, "a", moves.df)
-        left = edges.df if left is None else left
-        left = stage(left.where(F.col("a") != F.col("b")), "contract").df
-        right = _follow(left, "b", moves.df)
-        left = left if right is None else right
-        ends = left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = stage(ends.where(F.col("a") != F.col("b")).distinct(), "edges")
+            labels = stage(_follow(labels, "up", moves, labels).select("a", "up").unionByName(moves), "labels").df
+        left = _follow(edges.df, "a", moves, edges.df).drop("_old")
+        edges = stage(_ordered(_follow(left, "b", moves, edges.df)), "edges")
     if labels is None:
         return edges.df.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return labels.df.select(F.col("a").alias("id"), F.col("up").alias("root"))
+    return labels.select(F.col("a").alias("id"), F.col("up").alias("root"))

@@ -2,24 +2,76 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.operators.graph import hooked
-from levyscope.operators.spatial import area, centre
+from levyscope.operators.spatial import area, cells, centre, level_of
 from levyscope.scale import stage
+from levyscope.sources.readers import rings_of
+
+
+TURNS = 20_000  # angle classes in half a turn
+NEAR = 1e-9  # distance within which two lines are one, and the least length that two edges must share
+
+
+def edges_on_lines(polygons: DataFrame, keep: list[str]) -> DataFrame:
+    """Edges as (geoid, angle class, offset of the line, interval t0..t1 along it). Only end points are copied, no ring."""
+
+    def segments(ring):
+        return F.transform(
+            F.sequence(F.lit(1), F.size(ring) - 1),
+            lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i + 1).alias("q")),
+        )
+
+    parts = polygons.select("geoid", *keep, F.inline(F.flatten(F.transform(rings_of(polygons), segments))))
+    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
+    long = F.hypot(dx, dy)
+    turn = F.pmod(F.round(F.atan2(dy, dx) / math.pi * TURNS), F.lit(TURNS)).cast("int")
+    # the direction of a line: rightwards if level, else upwards
+    flip = F.when(turn == 0, F.signum(dx)).otherwise(F.signum(dy))
+    parts = parts.where(long > 0).withColumns({"_turn": turn, "_ux": flip * dx / long, "_uy": flip * dy / long})
+    t1, t2 = (F.col(f"{c}.x") * F.col("_ux") + F.col(f"{c}.y") * F.col("_uy") for c in "pq")
+    offset = F.col("p.y") * F.col("_ux") - F.col("p.x") * F.col("_uy")
+    return parts.select("geoid", *keep, "_turn", offset.alias("_c"), F.least(t1, t2).alias("_t0"), F.greatest(t1, t2).alias("_t1"))
 
 
 def shared_edges(polygons: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Pairs of polygons (a < b) with a common edge. An equality join on the edge; a layer without overlaps has at most
-    two polygons on any edge."""
+    """Pairs of polygons (a < b) whose boundaries meet along a line, be it a part of an edge only.
+
+    Edges meet on the line that supports them and, along it, on grid cells of their own size: an edge covers at most two
+    cells of its level and joins the edges of finer or equal levels there. A long line with very many edges is so no hot key.
+    """
     keep = keep or []
-    edges = polygons.select("geoid", *keep, F.col("ring"), F.explode(F.sequence(F.lit(1), F.size("ring") - 1)).alias("_i"))
-    p, q = F.element_at("ring", F.col("_i")), F.element_at("ring", F.col("_i") + 1)
-    edges = edges.select("geoid", *keep, F.least(p, q).alias("_p"), F.greatest(p, q).alias("_q"))
-    other = edges.select(F.col("geoid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in keep], "_p", "_q")
-    pairs = edges.withColumnRenamed("geoid", "a").join(other, ["_p", "_q"]).where(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", *[c for k in keep for c in (k, f"{k}_b")]).distinct()
+    edges = edges_on_lines(polygons, keep).withColumn("_own", level_of(F.col("_t1") - F.col("_t0"), 1e-6))
+    edges = stage(edges.withColumn("_line", F.round(F.col("_c") / (10 * NEAR)).cast("long")), "edges").df
+    levels = edges.agg(F.collect_set("_own").alias("_levels"))  # one row, a few exponents
+    wide = edges.withColumn("_level", F.col("_own"))
+    fine = edges.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).where("_level >= _own").drop("_levels")
+    # a line's number is rounded: look at both neighbours as well
+    fine = fine.withColumn("_line", F.explode(F.array(F.col("_line") - 1, F.col("_line"), F.col("_line") + 1)))
+
+    def gridded(df):
+        return df.withColumn("_cell", F.explode(cells(F.col("_t0"), F.col("_t1"), F.col("_level"))))
+
+    mine = ["geoid", *keep, "_c", "_t0", "_t1"]
+    other = gridded(fine).select("_turn", "_line", "_level", "_cell", *[F.col(c).alias(f"{c}_o") for c in mine])
+    met = gridded(wide).join(other, ["_turn", "_line", "_level", "_cell"])
+    shared = F.least("_t1", "_t1_o") - F.greatest("_t0", "_t0_o")
+    met = met.where((F.col("geoid") != F.col("geoid_o")) & (F.abs(F.col("_c") - F.col("_c_o")) <= NEAR) & (shared > NEAR))
+    first = F.col("geoid") < F.col("geoid_o")
+
+    def pick(c, low):
+        return F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"{c}_o"))
+
+    pairs = met.select(
+        pick("geoid", True).alias("a"),
+        pick("geoid", False).alias("b"),
+        *[x for k in keep for x in (pick(k, True).alias(k), pick(k, False).alias(f"{k}_b"))],
+    )
+    return pairs.distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -38,13 +90,13 @@ def dissolve(polygons: DataFrame, category: str) -> DataFrame:
 
 
 def with_area(polygons: DataFrame) -> DataFrame:
-    return polygons.withColumn("area", area(F.col("ring")))
+    return polygons.withColumn("area", area(rings_of(polygons)))
 
 
 def cluster_areas(clustered: DataFrame, category: str) -> DataFrame:
     """Area and centre (mean of member centres) of every cluster."""
-    cx, cy = centre(F.col("ring"))
-    parts = clustered.select("cluster_id", category, area(F.col("ring")).alias("area"), cx.alias("cx"), cy.alias("cy"))
+    cx, cy = centre(rings_of(clustered))
+    parts = clustered.select("cluster_id", category, area(rings_of(clustered)).alias("area"), cx.alias("cx"), cy.alias("cy"))
     return parts.groupBy("cluster_id", category).agg(
         F.sum("area").alias("area"), F.avg("cx").alias("cx"), F.avg("cy").alias("cy")
     )
@@ -66,27 +118,56 @@ def area_filter(clusters: DataFrame, category: str, top: int = 2, min_share: flo
     return largest.unionByName(shared.where(F.col("area_share") >= min_share)).dropDuplicates(["cluster_id"])
 
 
-def assign_nearest(clustered: DataFrame, kept: DataFrame, category: str) -> DataFrame:
-    """Each polygon's own cluster if kept, else the kept cluster with the nearest centre (ties by least id).
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target) for every point (id, x, y): the nearest of ``targets`` (target, x, y), the least target among equals.
 
-    ``kept`` is the output of ``area_filter`` and therefore bounded; it travels as one array value, so finding the
-    nearest is a projection and no pair of rows is formed.
+    A search on grids that double: in a cell of side r all targets within r are in the nine cells around, so a point whose
+    best candidate is within r is done, and the others go on to cells of twice the side. Each round writes what is left.
     """
-    near = kept.agg(
-        F.collect_list(F.struct(F.col("cluster_id").alias("id"), F.col(category).alias("cat"), "cx", "cy")).alias("_kept")
-    )
-    cx, cy = centre(F.col("ring"))
-    rows = clustered.withColumns({"_x": cx, "_y": cy}).crossJoin(F.broadcast(near))  # exactly one row
-
-    def by_distance(k):
-        dx, dy = k["cx"] - F.col("_x"), k["cy"] - F.col("_y")
-        return F.struct((dx * dx + dy * dy).cast("float").alias("d"), k["id"].alias("id"), k["cat"].alias("cat"))
-
-    # set apart from the select below: inside a lambda a name would be taken for the new column of that name
-    own = F.exists("_kept", lambda k: k["id"] == F.col("cluster_id"))
-    rows = rows.withColumns({"_best": F.array_min(F.transform("_kept", by_distance)), "_own": own})
-    return rows.select(
-        "geoid",
-        F.when(F.col("_own"), F.col("cluster_id")).otherwise(F.col("_best.id")).alias("cluster_id"),
-        F.when(F.col("_own"), F.col(category)).otherwise(F.col("_best.cat")).alias(category),
+    targets = stage(targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty")), "targets")
+    left = stage(points.select("id", "x", "y"), "points")
+    box = left.df.select("x", "y").unionByName(targets.df.select(F.col("tx").alias("x"), F.col("ty").alias("y")))
+    span = box.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    done = left.df.select("id", F.lit(None).cast(targets.df.schema["target"].dataType).alias("target")).limit(0)
+    if not left.rows or not targets.rows:
+        return done
+    side = max(*span, 1e-9) / (2 * max(1.0, targets.rows**0.5))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while left.rows:
+        wide = targets.df.withColumn("_n", F.explode(around)).select(
+            "target", "tx", "ty", (F.floor(F.col("tx") / side) + F.col("_n.i")).alias("_cx"), (F.floor(F.col("ty") / side) + F.col("_n.j")).alias("_cy")
+        )
+        at = left.df.withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)})
+        dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
+        found = at.join(wide, ["_cx", "_cy"]).groupBy("id").agg(
+            F.min(F.struct((dx * dx + dy * dy).cast("float").alias("d"), "target")).alias("best")
+        )
+        found = found.where(F.col("best.d") <= (side * side) * (1 - 1e-5)).select("id", F.col("best.target").alias("target"))
+        found = stage(found, "nearest").df
+        done = done.unionByName(found)
+        left = stage(left.df.join(found, "id", "left_anti"), "points")
+        side *= 2
+    return done
+
+
+def assign_nearest(clustered: DataFrame, kept: DataFrame, category: str) -> DataFrame:
+    """Each polygon's own cluster if kept, else the kept cluster with the nearest centre (ties by least id)."""
+    clustered = stage(clustered, "clustered").df
+    kept = stage(kept, "kept").df
+    own = clustered.join(kept.select("cluster_id"), "cluster_id", "left_semi").select("geoid", "cluster_id", category)
+    cx, cy = centre(rings_of(clustered))
+    lost = clustered.join(kept.select("cluster_id"), "cluster_id", "left_anti")
+    near = nearest(
+        lost.select(F.col("geoid").alias("id"), cx.alias("x"), cy.alias("y")),
+        kept.select(F.col("cluster_id").alias("target"), F.col("cx").alias("x"), F.col("cy").alias("y")),
     )
+    moved = near.join(kept.select("cluster_id", category), F.col("target") == F.col("cluster_id"))
+    return own.unionByName(moved.select(F.col("id").alias("geoid"), "cluster_id", category))
+
+
+def redissolve(polygons: DataFrame, assigned: DataFrame, category: str) -> DataFrame:
+    """Polygons under their assigned category, dissolved again, with a running number of the clusters of a category."""
+    rings = polygons.select("geoid", rings_of(polygons).alias("rings"))
+    again = stage(dissolve(rings.join(assigned.select("geoid", category), "geoid"), category).drop("rings"), "redissolved").df
+    number = F.row_number().over(Window.partitionBy(category).orderBy("cluster_id"))
+    return again.join(again.select("cluster_id", category).distinct().withColumn("cluster_no", number), ["cluster_id", category])

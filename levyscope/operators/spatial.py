@@ -1,6 +1,7 @@
 """Points, polygons and the point-in-area join, with array functions (planar coordinates).
 
-A polygon is a closed ring: ``array<struct<x, y>>`` whose last point repeats the first.
+A ring is ``array<struct<x, y>>`` whose last point repeats the first. A polygon has one (``ring``) or several (``rings``:
+parts and holes).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from levyscope.operators.rank import dedup_first
 from levyscope.scale import settle
-from levyscope.sources.readers import with_bounds
+from levyscope.sources.readers import rings_of, with_bounds
 
 
 def points_from_lonlat(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
@@ -18,7 +19,7 @@ def points_from_lonlat(df: DataFrame, lon: str = "longitude", lat: str = "latitu
 
 
 def drop_geometry(df: DataFrame) -> DataFrame:
-    return df.drop("ring", "x", "y", "xmin", "xmax", "ymin", "ymax")
+    return df.drop("ring", "rings", "x", "y", "xmin", "xmax", "ymin", "ymax")
 
 
 def _edge_count(ring: Column) -> Column:
@@ -63,41 +64,56 @@ def inside_rings(x: Column, y: Column, rings: Column) -> Column:
 
 
 def cell_size(polygons: DataFrame) -> float:
-    """Median polygon width: a cell then meets a handful of polygons, whatever their number."""
+    """Median polygon width: most polygons then share the finest grid."""
     width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     return with_bounds(polygons).agg(F.percentile_approx(width, 0.5)).first()[0]
 
 
-def _cell(c: Column, cell: float) -> Column:
-    return F.floor(c / cell)
+def level_of(width: Column, least: float) -> Column:
+    """Least power of two (its exponent) that is not below ``width`` nor ``least``: a cell of this size meets an interval
+    of the width at most twice."""
+    return F.ceil(F.log2(F.greatest(width, F.lit(least)))).cast("int")
+
+
+def cells(low: Column, high: Column, level: Column) -> Column:
+    """The one or two cells of a level that an interval meets."""
+    size = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
 def join_within(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Points (x, y) joined to the polygons that hold them.
+    """Points (x, y) joined to the polygons (geoid, ring or rings) that hold them.
 
-    Polygons, not points, are copied to the grid cells their boxes meet; the join is an equality on the cell, then box
-    and ring tests. A cell crowded with points is one hot key on the point side only: the polygon side is broadcast
-    when Catalyst sees that it is small, and is otherwise written first so that adaptive execution splits the hot cell.
+    Every polygon lies on the grid of its own size, ``cell`` at least, where its box meets at most four cells, so one very
+    wide area costs no more than a small one. A point is looked up on every grid in use: their number is that of the powers
+    of two between the least and the greatest width. The join is an equality on level and cell and carries boxes only; the
+    rings are joined to what passes the box test. The box table is at most four rows a polygon and is broadcast when even
+    four times Catalyst's estimate is small; otherwise it is written first, so that adaptive execution splits a hot cell.
     """
-    boxed = with_bounds(polygons)
-    cols = F.explode(F.sequence(_cell(F.col("xmin"), cell), _cell(F.col("xmax"), cell)))
-    rows = F.explode(F.sequence(_cell(F.col("ymin"), cell), _cell(F.col("ymax"), cell)))
-    tiles = settle(boxed.withColumn("_cx", cols).withColumn("_cy", rows), "tiles")
-    located = points.withColumns({"_cx": _cell(F.col("x"), cell), "_cy": _cell(F.col("y"), cell)})
+    level = level_of(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")), cell)
+    boxed = with_bounds(polygons).select("geoid", "xmin", "xmax", "ymin", "ymax", level.alias("_level"))
+    levels = boxed.agg(F.collect_set("_level").alias("_levels"))  # one row; widths of doubles have few exponents
+    tiles = boxed.withColumn("_cx", F.explode(cells(F.col("xmin"), F.col("xmax"), F.col("_level"))))
+    tiles = settle(tiles.withColumn("_cy", F.explode(cells(F.col("ymin"), F.col("ymax"), F.col("_level")))), "tiles", fan_out=4)
+    located = points.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    located = located.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
     near = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    pairs = located.join(tiles, ["_cx", "_cy"], "inner").where(near)
-    return pairs.where(inside(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy", "xmin", "xmax", "ymin", "ymax")
+    pairs = located.join(tiles, ["_level", "_cx", "_cy"], "inner").where(near)
+    pairs = pairs.drop("_level", "_cx", "_cy", "xmin", "xmax", "ymin", "ymax")
+    rest = polygons.drop("xmin", "xmax", "ymin", "ymax")
+    return pairs.join(rest, "geoid").where(inside_rings(F.col("x"), F.col("y"), rings_of(rest)))
 
 
 def pin_to_area(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """One point per pin10, then the area it lies in."""
     single = dedup_first(points, ["pin10"], ["longitude", "latitude"])
-    placed = join_within(points_from_lonlat(single), polygons.select("geoid", "ring"), cell)
+    placed = join_within(points_from_lonlat(single), polygons.select("geoid", rings_of(polygons).alias("rings")), cell)
     return placed.where(F.col("geoid").isNotNull()).select("pin10", "geoid")
 
 
-def area(ring: Column) -> Column:
-    """Planar polygon area (shoelace)."""
+def ring_area(ring: Column) -> Column:
+    """Planar area inside a ring (shoelace)."""
 
     def step(total, i):
         x1, y1, x2, y2 = _edge(ring, i)
@@ -106,11 +122,27 @@ def area(ring: Column) -> Column:
     return F.abs(F.aggregate(_edge_count(ring), F.lit(0.0), step)) / 2
 
 
-def centre(ring: Column) -> tuple[Column, Column]:
-    """Mean of the ring's distinct corners."""
-    corners = F.size(ring) - 1
+def area(rings: Column) -> Column:
+    """Planar area of a polygon given by its rings; a ring inside an odd number of the others is a hole."""
+
+    def signed(ring, i):
+        corner = ring[0]
+        around = F.aggregate(
+            F.sequence(F.lit(0), F.size(rings) - 1),
+            F.lit(0),
+            lambda n, j: n + F.when(j == i, 0).otherwise(crossings(corner["x"], corner["y"], rings[j]) % 2),
+        )
+        return F.when(around % 2 == 1, -ring_area(ring)).otherwise(ring_area(ring))
+
+    one = F.size(rings) == 1
+    return F.when(one, ring_area(rings[0])).otherwise(F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda t, v: t + v))
+
+
+def centre(rings: Column) -> tuple[Column, Column]:
+    """Mean of the distinct corners of all rings."""
+    corners = F.flatten(F.transform(rings, lambda r: F.slice(r, F.lit(1), F.size(r) - 1)))
 
     def mean(axis):
-        return F.aggregate(F.slice(ring, F.lit(1), corners), F.lit(0.0), lambda t, p: t + p[axis]) / corners
+        return F.aggregate(corners, F.lit(0.0), lambda t, p: t + p[axis]) / F.size(corners)
 
     return mean("x"), mean("y")

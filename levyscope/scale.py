@@ -88,14 +88,15 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
-def settle(df: DataFrame, label: str = "side") -> DataFrame:
+def settle(df: DataFrame, label: str = "side", fan_out: int = 1) -> DataFrame:
     """Prepare the smaller side of a large join.
 
     Below Catalyst's own broadcast limit the frame is returned as it is and will be broadcast. Above it, the side is
     written out first: a join of two plain scans has an exchange directly below each sort, the only shape in which
-    adaptive execution can split a hot key of the larger side.
+    adaptive execution can split a hot key of the larger side. ``fan_out`` bounds the rows an ``explode`` in ``df`` makes of
+    one, which the estimate does not see.
     """
-    if planned_bytes(df) <= broadcast_limit(df.sparkSession):
+    if fan_out * planned_bytes(df) <= broadcast_limit(df.sparkSession):
         return df
     return stage(df, label).df
 

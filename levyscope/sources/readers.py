@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,17 @@ def read_long(spark: SparkSession, path: str, schema: str, fmt: str = "parquet")
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
+def rings_of(polygons: DataFrame) -> Column:
+    """The rings of each polygon, whether it has one (``ring``) or several (``rings``)."""
+    return F.col("rings") if "rings" in polygons.columns else F.array("ring")
+
+
 def with_bounds(polygons: DataFrame) -> DataFrame:
-    """Bounding box of each ring as four columns."""
+    """Bounding box of each polygon as four columns."""
+    points = F.flatten(rings_of(polygons))
 
     def axis(name):
-        return F.transform("ring", lambda p: p[name])
+        return F.transform(points, lambda p: p[name])
 
     return polygons.withColumns(
         {
@@ -53,5 +59,5 @@ def with_bounds(polygons: DataFrame) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Polygon layer (geoid, ring) with bounding boxes."""
+    """Polygon layer (geoid, ring or rings) with bounding boxes."""
     return with_bounds(spark.read.schema(schema).parquet(path))

@@ -13,4 +13,6 @@ APPEALS = (
 )
 ACS_LONG = "GEOID string, variable string, estimate double, summary_est double"
 POLYGONS = "geoid string, estimate double, ring array<struct<x: double, y: double>>"
+# areas of several parts, or with holes: any ring inside an odd number of others is a hole
+MULTIPOLYGONS = "geoid string, estimate double, rings array<array<struct<x: double, y: double>>>"
 POINTS = "pin10 string, longitude double, latitude double"

@@ -49,7 +49,7 @@ def test_one_point_per_pin(spark):
 
 def test_area_of_an_l_shape(spark):
     df = spark.createDataFrame([(L_SHAPE,)], f"ring {RING}")
-    assert df.select(spatial.area(F.col("ring"))).first()[0] == 3.0
+    assert df.select(spatial.area(F.array("ring"))).first()[0] == 3.0
 
 
 def brute_groups(nodes, links):
