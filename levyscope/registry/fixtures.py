@@ -232,6 +232,25 @@ def label_tiles(spark, sf_dir) -> DataFrame:
     )
 
 
+def varied_areas(spark, sf_dir) -> DataFrame:
+    """The tiles as areas of three forms, by their count: a square, one with a square hole, one of two strips; and one area
+    a thousand tiles wide around them. Their number grows with the tables."""
+    ring = F.col("ring")
+    x0, y0, x1, y1 = ring[0]["x"], ring[0]["y"], ring[2]["x"], ring[2]["y"]
+
+    def box(a, b, c, d):
+        xa, xb, ya, yb = x0 + (x1 - x0) * a, x0 + (x1 - x0) * b, y0 + (y1 - y0) * c, y0 + (y1 - y0) * d
+        return F.array(_point(xa, ya), _point(xb, ya), _point(xb, yb), _point(xa, yb), _point(xa, ya))
+
+    form = F.pmod("n", F.lit(3))
+    holed, strips = F.array(ring, box(0.25, 0.75, 0.25, 0.75)), F.array(box(0, 1 / 3, 0, 1), box(2 / 3, 1, 0, 1))
+    rings = F.when(form == 0, F.array(ring)).when(form == 1, holed).otherwise(strips)
+    far = spark.range(1).select(F.lit("around").alias("geoid"), F.lit(10.0).alias("r"))
+    corners = [_point(F.col("r") * i, F.col("r") * j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    around = far.select("geoid", F.array(F.array(*corners)).alias("rings"))
+    return label_tiles(spark, sf_dir).select("geoid", rings.alias("rings")).unionByName(around)
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         sales=lambda: sales(spark, sf_dir),

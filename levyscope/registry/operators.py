@@ -8,7 +8,7 @@ from levyscope.functions import scalars as fn
 from levyscope.operators import outliers, rank, ratios, regions, shape, shares, spatial
 from levyscope.plans import areas, charts, labels, rolls, study
 from levyscope.registry.entries import Context, entry
-from levyscope.registry.fixtures import CELL, SCHEMAS
+from levyscope.registry.fixtures import CELL, SCHEMAS, TILE, varied_areas
 from levyscope.registry.pipelines import BOARD_LABEL, interval_sql
 from levyscope.scale import stage, stage_path
 from levyscope.sources import readers, schemas, sinks
@@ -300,6 +300,21 @@ entry(
         spatial.points_from_lonlat(c.inputs.pin_points), c.inputs.block_groups.select("geoid", "ring"), CELL
     ).drop("ring")
 )
+entry(
+    "J9_areas_of_parts",
+    """SELECT pin10, x, y, geoid FROM (
+         SELECT *, x / 0.02::DOUBLE - cx AS u, y / 0.02::DOUBLE - cy AS v
+         FROM (SELECT pin10, longitude AS x, latitude AS y FROM pin_points) p JOIN tiles
+           ON cx = CAST(floor(x / 0.02::DOUBLE) AS BIGINT) AND cy = CAST(floor(y / 0.02::DOUBLE) AS BIGINT))
+       WHERE CASE n % 3 WHEN 0 THEN true WHEN 1 THEN NOT (u BETWEEN 0.25 AND 0.75 AND v BETWEEN 0.25 AND 0.75)
+         ELSE u < 1.0::DOUBLE / 3 OR u > 2.0::DOUBLE / 3 END
+       UNION ALL SELECT pin10, longitude, latitude, 'around' FROM pin_points""",
+    "x:6 y:6",
+)(
+    lambda c: spatial.join_within(
+        spatial.points_from_lonlat(c.inputs.pin_points), varied_areas(c.spark, c.sf_dir), TILE
+    ).drop("rings")
+)
 
 # -- aggregations
 
@@ -760,9 +775,35 @@ entry("G4_pin_to_area", "SELECT pin10, geoid FROM pin_area")(
 entry("D1_shared_edges", "SELECT a, b, category, category_b FROM links", regions=True)(
     lambda c: regions.shared_edges(c.tiles(), ["category"])
 )
+entry(
+    "D1_parts_of_edges",
+    """SELECT * FROM (WITH e AS (SELECT geoid, least(ax, bx) AS x0, greatest(ax, bx) AS x1, least(ay, by_) AS y0, greatest(ay, by_) AS y1 FROM edges)
+       SELECT DISTINCT p.geoid AS a, q.geoid AS b FROM e p JOIN e q ON p.geoid < q.geoid AND (
+         (p.x1 - p.x0 < 1e-9 AND q.x1 - q.x0 < 1e-9 AND abs(p.x0 - q.x0) < 1e-9 AND least(p.y1, q.y1) - greatest(p.y0, q.y0) > 1e-9)
+         OR (p.y1 - p.y0 < 1e-9 AND q.y1 - q.y0 < 1e-9 AND abs(p.y0 - q.y0) < 1e-9 AND least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9)))""",
+)(lambda c: regions.shared_edges(c.inputs.block_groups))
 entry("D2_dissolve_components", "SELECT geoid, category, cluster_id FROM clustered", regions=True)(
     lambda c: regions.dissolve(c.tiles(), "category").select("geoid", "category", "cluster_id")
 )
+@entry(
+    "D2_permuted_ids",
+    "SELECT reverse(geoid) AS id, min(reverse(geoid)) OVER (PARTITION BY cluster_id) AS cluster_id FROM clustered",
+    regions=True,
+)
+def _(c):
+    tiles = c.tiles()
+    same = regions.shared_edges(tiles, ["category"]).where("category = category_b")
+    return regions.components(
+        tiles.select(F.reverse("geoid").alias("id")), same.select(F.reverse("a").alias("a"), F.reverse("b").alias("b"))
+    )
+
+
+entry(
+    "D3_area_of_parts",
+    """SELECT geoid, CASE n % 3 WHEN 0 THEN 4e-4::DOUBLE WHEN 1 THEN 3e-4::DOUBLE ELSE 8e-4::DOUBLE / 3 END AS area FROM tiles
+       UNION ALL SELECT 'around', 400.0::DOUBLE""",
+    "area:8",
+)(lambda c: regions.with_area(varied_areas(c.spark, c.sf_dir)).select("geoid", "area"))
 entry("D3_area", "SELECT geoid, category, area FROM clustered", "area:9", regions=True)(
     lambda c: regions.with_area(c.tiles()).select("geoid", "category", "area")
 )
@@ -777,21 +818,33 @@ entry("D4_area_filter", "SELECT cluster_id, category, area, area_share FROM kept
 )
 
 
-@entry(
-    "D5_assign_nearest",
-    """SELECT t.geoid, coalesce(own.cluster_id, near.cluster_id) AS cluster_id, coalesce(own.category, near.category) AS category
+ASSIGNED = """SELECT t.geoid, coalesce(own.cluster_id, near.cluster_id) AS cluster_id, coalesce(own.category, near.category) AS category
        FROM clustered t LEFT JOIN kept own ON own.cluster_id = t.cluster_id
        JOIN (SELECT geoid, c.cluster_id, c.category,
                row_number() OVER (PARTITION BY geoid ORDER BY CAST(pow(c.cx - mx, 2) + pow(c.cy - my, 2) AS FLOAT), c.cluster_id) AS rn
-             FROM clustered, kept c) near ON near.geoid = t.geoid AND near.rn = 1""",
-    regions=True,
-)
-def _(c):
+             FROM clustered, kept c) near ON near.geoid = t.geoid AND near.rn = 1"""
+
+
+def assigned(c: Context):
     clustered = regions.dissolve(c.tiles(), "category")
     kept = regions.area_filter(regions.cluster_areas(clustered, "category"), "category")
     return regions.assign_nearest(clustered, kept, "category")
 
 
+entry("D5_assign_nearest", ASSIGNED, regions=True)(assigned)
+entry(
+    "D6_redissolve",
+    f"""SELECT geoid, category, cluster_id, CAST(dense_rank() OVER (PARTITION BY category ORDER BY cluster_id) AS INTEGER) AS cluster_no
+        FROM (
+          WITH RECURSIVE asg AS ({ASSIGNED}),
+          same AS (SELECT l.a, l.b FROM links l JOIN asg p ON p.geoid = l.a JOIN asg q ON q.geoid = l.b WHERE p.category = q.category),
+          again AS (SELECT geoid AS id, geoid AS seen FROM asg
+            UNION SELECT w.id, CASE WHEN l.a = w.seen THEN l.b ELSE l.a END FROM again w JOIN same l ON l.a = w.seen OR l.b = w.seen)
+          SELECT asg.geoid, asg.category, g.cluster_id
+          FROM asg JOIN (SELECT id, min(seen) AS cluster_id FROM again GROUP BY id) g ON g.id = asg.geoid)""",
+    regions=True,
+)(lambda c: regions.redissolve(c.tiles(), assigned(c), "category").select("geoid", "category", "cluster_id", "cluster_no"))
+
 # -- checks the study makes on its inputs
 
 entry(
