@@ -99,6 +99,7 @@ def map_slice(areas: DataFrame, term: str, triad: str) -> DataFrame:
 def write_feeds(study: Study, cell: float, out_dir: str) -> dict[str, str]:
     """Every chart's table as a parquet feed; returns the paths by name."""
     inputs = study.inputs
+    study.keep()
     feeds = {
         "price_index": study.price_index_trend(),
         "county_profile": study.ratio_profile_county(),

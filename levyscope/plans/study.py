@@ -114,6 +114,11 @@ class Study:
             self._clean[tuple(trims)] = self._clean_plan(trims)
         return self._clean[tuple(trims)]
 
+    def keep(self) -> Study:
+        """Write the clean sales once, for callers that build many tables from one study."""
+        self._clean[()] = stage(self.clean(), "clean").df
+        return self
+
     def _clean_plan(self, trims: list[float]) -> DataFrame:
         inside = (F.col("outlier_flag_iaao") == 1) & (F.col("zscore") < MAX_Z) & (F.col("year") >= FIRST_YEAR)
         worth = (F.col("av_mailed") > MIN_VALUE) & (F.col("sale_price") > MIN_VALUE)

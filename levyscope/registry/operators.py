@@ -705,6 +705,25 @@ entry(
     ),
     "sale_price_hpi:3 value:3",
 )(lambda c: charts.board_curves(c.study))
+entry(
+    "C1_loess_board_pct",
+    loess_sql(
+        f"""SELECT year, sale_price_hpi, value AS y, "count" AS w FROM board_long
+            WHERE name = 'assessed_value_board_mailed_diff_pct' AND {AXES} value BETWEEN -0.2 AND 0""",
+        "year", "value", 1.0,
+    ),
+    "sale_price_hpi:3 value:6",
+)(lambda c: charts.board_curves(c.study, "assessed_value_board_mailed_diff_pct"))
+for _triad, _years in labels.TRIAD_COMPARISON.items():
+    entry(
+        f"C1_loess_{_triad.lower()}",
+        loess_sql(
+            f"""SELECT *, av_ratio_mailed AS y, "count" AS w FROM profile_triad WHERE triad_name = '{_triad}'
+                AND comparison_years = '{_years}' AND {AXES} av_ratio_mailed BETWEEN 0 AND 0.3""",
+            "reporting_group, assessor_term_year", "av_ratio_mailed", 0.75,
+        ),
+        "sale_price_hpi:3 av_ratio_mailed:6",
+    )(lambda c, triad=_triad: charts.triad_curves(c.study, triad))
 BANDS = """SELECT {by} year, result, ratio, sum(ratio) OVER (PARTITION BY {by} year ORDER BY result DESC) AS upper,
   sum(ratio) OVER (PARTITION BY {by} year ORDER BY result DESC) - ratio AS lower FROM {t}
   WHERE major_class_type = '{kind}' AND result <> 'Increase'"""
@@ -714,6 +733,12 @@ entry("C2_stacked_bands", BANDS.format(by="", t="rates", kind="Residential"), "r
 entry("C2_stacked_bands_triad", BANDS.format(by="triad_name,", t="rates_triad", kind="Residential"), "ratio:7 upper:7 lower:7")(
     lambda c: charts.appeal_bands(rolls.appeal_rates_triad(c.inputs), "Residential", ["triad_name"])
 )
+entry("C2_stacked_bands_commercial", BANDS.format(by="", t="rates", kind="Commercial"), "ratio:7 upper:7 lower:7")(
+    lambda c: charts.appeal_bands(rolls.appeal_rates(c.inputs), "Commercial", [])
+)
+entry("C2_stacked_bands_triad_commercial", BANDS.format(by="triad_name,", t="rates_triad", kind="Commercial"), "ratio:7 upper:7 lower:7")(
+    lambda c: charts.appeal_bands(rolls.appeal_rates_triad(c.inputs), "Commercial", ["triad_name"])
+)
 entry(
     "C3_faceted_slice_triad",
     "SELECT * FROM profile_triad WHERE triad_name = 'City' AND comparison_years = '2018 vs. 2021'",
@@ -740,6 +765,23 @@ entry(
        WHERE major_class_type = 'Residential'""",
     "value:7",
 )(lambda c: charts.share_labels(c.inputs, "Residential"))
+entry(
+    "C3_share_labels_commercial",
+    """SELECT *, CAST(CAST(round_even(value * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS label FROM share_long
+       WHERE major_class_type = 'Commercial'""",
+    "value:7",
+)(lambda c: charts.share_labels(c.inputs, "Commercial"))
+for _kind in ("Residential", "Commercial"):
+    entry(
+        f"C3_amount_labels_{_kind.lower()}",
+        f"""SELECT * EXCLUDE (s, p), '$' || CASE WHEN s IS NULL THEN NULL WHEN s % 1 = 0 THEN CAST(CAST(s AS BIGINT) AS VARCHAR)
+              ELSE CAST(s AS VARCHAR) END || 'B' AS label
+            FROM (SELECT *, CASE WHEN value = 0 THEN 0::DOUBLE
+                    WHEN p < 0 THEN round_even(value / 1e9 * pow(10, -p), 0) / pow(10, -p)
+                    ELSE round_even(value / 1e9 / pow(10, p), 0) * pow(10, p) END AS s
+                  FROM (SELECT *, floor(log10(abs(nullif(value, 0) / 1e9))) - 1 AS p FROM tax_long WHERE major_class_type = '{_kind}'))""",
+        "value:2",
+    )(lambda c, kind=_kind: charts.amount_labels(c.inputs, kind))
 JUDGE = "CASE WHEN {v} < {lo} THEN 'below' WHEN {v} <= {hi} THEN 'within' ELSE 'above' END"
 entry(
     "C4_target_bands",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Segments, classes, census variables, index numbers, terms and labels of the study, as in the Spark code
 FIXTURES = """
 ord AS (
   SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) + 21 AS INTEGER) AS yr,

@@ -69,6 +69,7 @@ entry(
 PROFILE = "av_ratio_mailed:7 sale_price:4 sale_price_hpi:4"
 entry("Q13_ratio_profile_county", "SELECT * FROM profile_county", PROFILE)(lambda c: c.study.ratio_profile_county())
 entry("Q14_ratio_profile_triad", "SELECT * FROM profile_triad", PROFILE)(lambda c: c.study.ratio_profile_triad())
+# Display texts of the measures
 BOARD_LABEL = """CASE name
   WHEN 'av_mailed_hpi' THEN 'Assessed value (mailed), HPI' WHEN 'av_board_hpi' THEN 'Assessed value (Board of Review), HPI'
   WHEN 'av_ratio_mailed' THEN 'Assessed value ratio (mailed)' WHEN 'av_ratio_board' THEN 'Assessed value ratio (Board of Review)'
@@ -101,6 +102,7 @@ def interval_sql(fit: str, keys: str, pooled: bool) -> str:
 
 entry("Q20_prb_by_year", interval_sql("prb_fit", "year", True), INTERVAL)(lambda c: c.study.prb_by_year())
 entry("Q21_race_by_area", "SELECT * FROM race")(lambda c: areas.race_by_area(c.inputs))
+# Census groups and their column names
 RACE_COLUMNS = {
     "Latino/a": "latino_a", "White": "white", "Black": "black", "Native American": "native_american",
     "Asian/Pacific Islander": "asian_pacific_islander", "Multiracial/Other": "multiracial_other",
