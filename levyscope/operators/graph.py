@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscope.scale import stage
+from levyscope.scale import Staged, stage
 
 COPIES = 16
+FEW = 200_000  # rows of two ids that may be broadcast
 
 
-def _follow(rows: DataFrame, column: str, moves: DataFrame, used: DataFrame) -> DataFrame:
+def _follow(rows: DataFrame, column: str, moves: Staged, used: DataFrame) -> DataFrame:
     """``rows`` with ``column`` replaced by where ``moves`` (a -> up) leads, the old value as ``_old``.
 
-    Only the distinct values (of ``used``, which has the column too) are looked up, and the few that move meet the rows on
-    value and salt, so a value that most rows carry is spread over ``COPIES`` tasks.
+    A table counted to have ``FEW`` rows at most is broadcast. Of a larger one only the distinct values (of ``used``, which
+    has the column too) are looked up, and those that move meet the rows on value and salt, so a value that most rows carry
+    is spread over ``COPIES`` tasks.
     """
-    found = used.select(F.col(column).alias("a")).distinct().join(moves, "a").select(F.col("a").alias(column), F.col("up").alias("_to"))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int")
-    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    joined = rows.withColumn("_salt", salt).join(copies, [column, "_salt"], "left")
+    if moves.rows <= FEW:
+        joined = rows.join(F.broadcast(moves.df.select(F.col("a").alias(column), F.col("up").alias("_to"))), column, "left")
+    else:
+        found = used.select(F.col(column).alias("a")).distinct().join(moves.df, "a")
+        copies = found.select(
+            F.col("a").alias(column), F.col("up").alias("_to"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_salt")
+        )
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int")
+        # Catalyst does not see that the copies are many and would broadcast them
+        joined = rows.withColumn("_salt", salt).join(copies.hint("shuffle_hash"), [column, "_salt"], "left")
     return joined.select(*[c for c in rows.columns if c != column], F.col(column).alias("_old"), F.coalesce("_to", column).alias(column))
 
 
@@ -39,16 +47,16 @@ def hooked(links: DataFrame) -> DataFrame:
     edges = stage(_ordered(links.where(F.col("a").isNotNull() & F.col("b").isNotNull())), "edges")
     labels: DataFrame | None = None
     while edges.rows:
-        moves = stage(edges.df.groupBy("a").agg(F.min("b").alias("up")), "hooks").df
+        moves = stage(edges.df.groupBy("a").agg(F.min("b").alias("up")), "hooks")
         while True:
-            shorter = stage(_follow(moves, "up", moves, moves), "hooks", changed=F.col("up") != F.col("_old"))
-            moves = shorter.df.select("a", "up")
-            if not shorter.counts["changed"]:
+            moves = stage(_follow(moves.df.select("a", "up"), "up", moves, moves.df), "hooks", changed=F.col("up") != F.col("_old"))
+            if not moves.counts["changed"]:
                 break
+        stars = moves.df.select("a", "up")
         if labels is None:
-            labels = moves
+            labels = stars
         else:
-            labels = stage(_follow(labels, "up", moves, labels).select("a", "up").unionByName(moves), "labels").df
+            labels = stage(_follow(labels, "up", moves, labels).select("a", "up").unionByName(stars), "labels").df
         left = _follow(edges.df, "a", moves, edges.df).drop("_old")
         edges = stage(_ordered(_follow(left, "b", moves, edges.df)), "edges")
     if labels is None:

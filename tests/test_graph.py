@@ -28,7 +28,9 @@ def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch, order):
     assert rounds.count("edges") - 1 <= 2 * math.log2(n) + 4
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_random_graphs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(5, 5), (None, 4), (7, None)]
     out = {r.id: r.root for r in graph.hooked(spark.createDataFrame(links, "a long, b long")).collect()}
