@@ -40,7 +40,7 @@ OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 #: Letters and digits up to here have not changed between versions of Unicode; later ones are left to the library.
 PLAIN_END = "ɏ"
 LONG_PIECE = 4096
-MEMO = 400_000
+MEMO = 800_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -175,6 +175,7 @@ class Lexicon:
             at += 4 * n
         self.first, self.edges, self.offset, self.ids = parts  # edges: target and pieces skipped, in turn
         self.label, self.label_at = data, at
+        self.seen: dict[int, dict[int, tuple[int, int]]] = {}  # transitions of the states visited so far
 
     @staticmethod
     def compile(entries: list[tuple[bytes, bytes]]) -> bytes:
@@ -226,16 +227,24 @@ class Lexicon:
             f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def transitions(self, state: int) -> dict[int, tuple[int, int]]:
+        """Target and skipped pieces by label."""
+        a, z = self.first[state] >> 1, self.first[state + 1] >> 1
+        labels = self.label[self.label_at + a : self.label_at + z]
+        return {b: (self.edges[2 * k], self.edges[2 * k + 1]) for k, b in zip(range(a, z), labels)}
+
     def get(self, piece: bytes) -> bytes | None:
-        first, edges, find, base = self.first, self.edges, self.label.find, self.label_at
+        first, seen = self.first, self.seen
         state, place = first[-1], 0
-        for i in range(len(piece)):
-            a = first[state] >> 1
-            k = find(piece[i : i + 1], base + a, base + (first[state + 1] >> 1)) - base
-            if k < a:
+        for b in piece:
+            out = seen.get(state)
+            if out is None:
+                out = seen[state] = self.transitions(state)
+            step = out.get(b)
+            if step is None:
                 return None
-            state = edges[2 * k]
-            place += edges[2 * k + 1]
+            state = step[0]
+            place += step[1]
         return self.ids[self.offset[place] : self.offset[place + 1]].tobytes() if first[state] & 1 else None
 
 
@@ -346,6 +355,18 @@ class Encoder:
             return self.by_library(text)
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def shared_encoder(path: str, lexicon: bytes | None = None) -> Encoder:
+    """The encoder of this process, which so keeps what earlier tasks have learnt; one at a time."""
+    key = (path, hash(lexicon))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, None if lexicon is None else Lexicon.mapped(lexicon))
+    return _encoders[key]
+
+
 def frequent_pieces(docs: DataFrame, size: int) -> list[str]:
     """The most frequent pieces of all texts, counted over all of them: whole classes of counts, ``size`` pieces at most."""
 
@@ -387,13 +408,14 @@ def build_lexicon(docs: DataFrame, path: str, size: int) -> bytes:
     return Lexicon.compile([(p.encode(), ids) for p, ids in zip(pieces, vocabulary.encode_pieces(pieces))])
 
 
-def encode_decode(docs: DataFrame, path: str, lexicon_size: int = 50_000) -> DataFrame:
-    """Per row of ``docs`` the ids and the decoded text, with the number of ids and digests of both."""
+def encode_decode(docs: DataFrame, path: str, lexicon_size: int = 50_000, with_ids: bool = False) -> DataFrame:
+    """Per row of ``docs`` the number of ids and digests of the ids and of the decoded text; with ``with_ids`` also the packed
+    ids and the text itself."""
     lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path, lexicon_size))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, Lexicon.mapped(lexicon.value))
+        encoder = shared_encoder(path, lexicon.value)
         tokens = encoder.vocabulary.tokens
         shown = [f"{i}," for i in range(len(tokens))]
         for batch in rows(batches):
@@ -401,11 +423,13 @@ def encode_decode(docs: DataFrame, path: str, lexicon_size: int = 50_000) -> Dat
             for packed in encoder.encode(batch.column("text").to_pylist()):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 decimal = "".join(map(shown.__getitem__, ids))[:-1].encode()
-                text = b"".join(map(tokens.__getitem__, ids))
-                text = text.decode("utf-8", "replace").encode()
-                out.append((len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(text).hexdigest(), packed))
-            n, a, b, packed = zip(*out)
-            columns = [pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+                text = b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
+                digests = hashlib.sha256(decimal).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+                out.append((len(ids), *digests, *((packed, text) if with_ids else ())))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names[: 1 + len(columns)])
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    more = ", ids binary, decoded string" if with_ids else ""
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscope.llm.bpe import Encoder
+from levyscope.llm.bpe import shared_encoder
 from levyscope.llm.common import rows, texts
 from levyscope.scale import stage
 
@@ -34,7 +34,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: in
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in rows(batches):
             out, of = [], []
             for i, packed in enumerate(encoder.encode(batch.column("text").to_pylist())):

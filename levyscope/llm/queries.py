@@ -97,7 +97,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.bpe import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path()).drop("ids")
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 @query("op4_toxicity")

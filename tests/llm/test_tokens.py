@@ -64,13 +64,13 @@ def test_lexicon_gives_what_was_put_in_and_nothing_else(library):
 def test_encode_decode(spark, library):
     docs = [(i, t, "x") for i, t in enumerate(ODD + fuzzed(300))] + [(9000, None, None), (9000, None, None), (None, "again", "y")]
     df = spark.createDataFrame(docs, "doc_id long, text string, ids string").repartition(3)
-    out = bpe.encode_decode(df, PATH, lexicon_size=50).collect()
+    out = bpe.encode_decode(df, PATH, lexicon_size=50, with_ids=True).collect()
     assert len(out) == len(docs)
     texts = {i: t for i, t, _ in docs}
     for r in out:
         ids = ids_of(library, texts[r.doc_id] or "")
         want = library.decode(ids, skip_special_tokens=False)
-        assert r.n_tokens == len(ids)
+        assert r.n_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == want
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
