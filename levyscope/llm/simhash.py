@@ -9,6 +9,10 @@ spanning forest of the links it found, never more rows than it read, so a group
 
 Null texts count as empty; texts without a word have fingerprint zero and are linked like any other. Repeated rows get the
 same component. Rows without a ``doc_id`` get a fingerprint and the component of the documents they equal.
+
+With ``least`` the links are only candidates: two documents are linked if the Jaccard similarity of their sets of shingles
+is at least that. Documents that candidates connect meet again with their sets, in packs of small groups or in pairs of
+chunks of a large one, and only similar pairs are linked. What is in one group already is not compared again.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from levyscope.scale import stage
 
 TILE = 65_536
 BLOCK = 512
+#: Most documents and shingles in a chunk whose pairs are confirmed in one task.
+PACK = 8_192
+PACK_SHINGLES = 2_000_000
 SEED = 42
 #: Bits of each value of a byte, lowest first.
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -67,21 +74,32 @@ def majority(h: np.ndarray) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1) -> DataFrame:
-    """``doc_id`` and the fingerprint as ``n_words`` long columns f0, f1, ..."""
+def set_key(h: np.ndarray) -> int:
+    """Hash of a sorted set of shingle hashes, equal for documents of similarity 1."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+
+def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1, sets: bool = False) -> DataFrame:
+    """``doc_id`` and the fingerprint as ``n_words`` long columns f0, f1, ... With ``sets`` a repeated shingle counts once,
+    and ``set_key`` tells different sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             out = np.zeros((n_words, batch.num_rows), np.uint64)
+            keys = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 h = shingle_hashes(text, size)
+                if sets:
+                    h = np.unique(h)
+                    keys.append(set_key(h))
                 if len(h):
                     out[:, i] = [majority(remix(h, w)) for w in range(n_words)]
-            words = [pa.array(f.view(np.int64)) for f in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *words], ["doc_id", *[f"f{w}" for w in range(n_words)]])
+            columns = [pa.array(f.view(np.int64)) for f in out] + [pa.array(keys, pa.int64())] * sets
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
+    names = [f"f{w}" for w in range(n_words)] + ["set_key"] * sets
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"f{w} long" for w in range(n_words)))
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,27 +209,125 @@ def near_links(groups: DataFrame, n_words: int, radius: int, total: int) -> Data
     return dealt.groupBy("kind", "b", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, n_words: int = 1, radius: int = 3, total: int | None = None) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """True if the Jaccard similarity of two sorted sets is ``least`` or more; that of two empty sets is 1."""
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= least * (len(both) - shared) - 1e-9
+
+
+def similar_forest(
+    node: np.ndarray, words: np.ndarray, home: np.ndarray, sets: list[np.ndarray], radius: int, total: int, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (node, node) of the pairs of ``tile_forest`` that are similar. A pair is compared unless earlier ones
+    have connected it, so many near copies cost a comparison each, not one for each pair."""
+    mine, other = np.flatnonzero(home), np.flatnonzero(~home)
+    same = not len(other)
+    labels = np.arange(len(node))
+    n = np.array([len(h) for h in sets], np.int64)
+    for i, j in near_pairs(words[mine], words[mine] if same else words[other], radius, total, same) if len(mine) else ():
+        i, j = mine[i], mine[j] if same else other[j]
+        sized = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[sized], j[sized]
+        while len(i):
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
+            now_i, now_j, i, j = i[:256], j[:256], i[256:], j[256:]
+            alike = np.fromiter((similar(sets[a], sets[b], least) for a, b in zip(now_i.tolist(), now_j.tolist())), bool, len(now_i))
+            labels = join_labels(labels, now_i[alike], now_j[alike])
+    moved = np.flatnonzero(labels != np.arange(len(node)))
+    return node[moved], node[labels[moved]]
+
+
+def confirmed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, size: int, n_words: int, radius: int, total: int, least: float) -> DataFrame:
+    """Links (a, b) that connect what the pairs of similarity ``least`` among the candidates connect.
+
+    ``links`` connects all candidates, so both ends of a candidate are in one of its groups, and only documents of such groups
+    are looked at again. Their sets of shingles are made anew from the texts.
+    """
+    words = [f"f{w}" for w in range(n_words)]
+    found = stage(hooked(links), "candidate-groups").df
+    ends = found.select(F.col("id").alias("node"), F.col("root").alias("comp"))
+    roots = found.select("root").distinct()
+    ends = stage(ends.unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("comp"))), "candidates").df
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            sets = [np.unique(shingle_hashes(text, size)) for text in batch.column("text").to_pylist()]
+            keys, held = pa.array(map(set_key, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, held], ["node", "set_key", "held"])
+
+    wanted = texts(docs).join(ends.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(shingles, f"node {kind}, set_key long, held binary").dropDuplicates(["node", "set_key"])
+    members = groups.join(ends, "node").join(sets, ["node", "set_key"]).select("comp", "node", *words, "held")
+    members = stage(members, "candidate-sets").df
+    n, shingled = F.count(F.lit(1)), F.sum(F.length("held") / 8)
+    sized = members.groupBy("comp").agg(F.greatest(F.ceil(n / PACK), F.ceil(shingled / PACK_SHINGLES)).cast("int").alias("chunks"))
+    sized = stage(sized, "candidate-sizes").df
+    whole = members.agg(n.alias("n"), shingled.alias("s")).first()
+    packs = max(32, whole["n"] // max(1, PACK // 4), int((whole["s"] or 0) // (PACK_SHINGLES // 4)))
+    large = members.join(sized.where("chunks > 1"), "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    chunk = F.col("chunk")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda k: F.struct(F.least(k, chunk).alias("i"), F.greatest(k, chunk).alias("j"), (chunk <= k).alias("home")),
+    )
+    small = members.join(sized.where("chunks <= 1"), "comp").select(
+        F.lit(None).cast(kind).alias("comp"),
+        F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("int").alias("i"),
+        F.lit(-1).alias("j"),
+        F.lit(True).alias("home"),
+        "node",
+        *words,
+        "held",
+    )
+    dealt = large.withColumn("t", F.explode(meets)).select("comp", "t.i", "t.j", "t.home", "node", *words, "held").unionByName(small)
+
+    def compare(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        f = np.stack([group.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+        home = group.column("home").to_numpy(zero_copy_only=False)
+        held = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("held")]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        lone = 0 <= j != i and home.all()  # the other chunk is empty
+        none = np.empty(0, np.int64)
+        a, b = (none, none) if lone else similar_forest(node, f, home, held, radius, total, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("comp", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = 3, n_words: int = 1, radius: int = 3, total: int | None = None, least: float | None = None
+) -> DataFrame:
     """``doc_id``, the fingerprint words, and ``component_id``, the least ``doc_id`` reachable over links.
 
-    Fingerprints are linked at ``radius`` or fewer differing bits of the first word and ``total`` or fewer of all words.
+    Fingerprints are linked at ``radius`` or fewer differing bits of the first word and ``total`` or fewer of all words. With
+    ``least`` such pairs are candidates, and those whose sets of shingles have that Jaccard similarity are linked.
     """
     words = [f"f{w}" for w in range(n_words)]
-    marked = stage(fingerprints(docs, size, n_words), "fingerprints").df
-    groups = stage(marked.groupBy(*words).agg(F.min("doc_id").alias("node")), "distinct-fingerprints").df
+    total = radius if total is None else total
+    same = [*words, "set_key"] if least is not None else words
+    marked = stage(fingerprints(docs, size, n_words, least is not None), "fingerprints").df
+    groups = stage(marked.groupBy(*same).agg(F.min("doc_id").alias("node")), "distinct-fingerprints").df
     named = groups.where(F.col("node").isNotNull())
-    moved = hooked(near_links(named, n_words, radius, radius if total is None else total))
+    links = near_links(named, n_words, radius, total)
+    if least is not None:
+        links = confirmed_links(docs, named, links, size, n_words, radius, total, least)
+    moved = hooked(links)
     classes = groups.join(moved, groups["node"] == moved["id"], "left")
-    classes = stage(classes.select(*words, F.coalesce("root", "node").alias("component_id")), "classes").df
-    return marked.join(classes, words).select("doc_id", *words, "component_id")
+    classes = stage(classes.select(*same, F.coalesce("root", "node").alias("component_id")), "classes").df
+    return marked.join(classes, same).select("doc_id", *words, "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Documents with one kept of each group of near-duplicates: the one with the least ``doc_id``.
 
-    Five-word shingles and fingerprints of 256 bits. 39 differing bits are expected at a Jaccard similarity of 0.8, with a
-    deviation of 6; 48 are allowed, of which 16 in the first word, so that nearly all such pairs are linked.
+    Near-duplicates share 0.8 or more of their five-word shingles (Jaccard similarity), directly or over others. Candidates
+    come from fingerprints of 256 bits: 39 differing bits are expected at 0.8, with a deviation of 6, and 10 with a deviation
+    of 3 in the first word; 64 and 22 are allowed, more than four deviations.
     """
-    found = near_duplicates(docs, size=5, n_words=4, radius=16, total=48)
+    found = near_duplicates(docs, size=5, n_words=4, radius=22, total=64, least=0.8)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")

@@ -81,3 +81,34 @@ def test_stage_keeps_one_of_each_group(spark):
         docs.append((100 + i, " ".join(w)))
     left = simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id for r in left.collect()} == set(range(20))
+
+
+def jaccard_components(docs, least=0.8):
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    pairs = itertools.combinations(sets, 2)
+    return components(sets, [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+
+
+def test_stage_links_by_similarity_of_shingle_sets(spark, monkeypatch):
+    """Edited copies on both sides of 0.8, with repeated lines; links are those of brute force, nothing less similar."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(2000)]
+    docs = []
+    for _ in range(40):
+        base = rnd.choices(words, k=rnd.randint(40, 200)) + rnd.choices(words, k=6) * rnd.choice([0, 0, 9])
+        docs.append(" ".join(base))
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rnd.randint(1, max(1, len(w) // 25))):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    want = {i for i, c in jaccard_components(docs).items() if i == c}
+    assert 60 < len(want) < 200
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.first_of_each(df).collect()} == want
+    monkeypatch.setattr(simhash, "PACK", 2)  # every group is large
+    assert {r.doc_id for r in simhash.first_of_each(df).collect()} == want
