@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns, and novelty against a primed compressor.
 
-The patterns find assignments, access keys and hexadecimal strings. On top, candidates are strings of 16 or more key
-characters with both letters and digits whose context names something sensitive. The marginal compressed size of a candidate
-is what it adds to its surrounding text in zstandard, primed with a dictionary of identifiers and code; a candidate that
-stays nearly incompressible is reported as ``novel``.
+The patterns find assignments, access keys and hexadecimal strings. On top, candidates are strings of key characters near
+a sensitive word, before or after them. The word may be a part of an identifier (``aws_secret_access_key``, ``accessKey``).
+A candidate ends at ``=``, so the name in ``name=value`` is context. The value of a sensitive name may be ``SHORT``
+characters long, another candidate ``LONG``. The marginal compressed size of a candidate is what it adds to its surrounding
+text in zstandard, primed with a dictionary of identifiers and code; a candidate that stays nearly incompressible is
+reported as ``novel``, whatever characters it has. A string under ``LONG`` characters that is no value of a sensitive name
+is not looked at: zstandard takes nearly every short word of prose for new.
 
 Null texts count as empty. Every row is scanned by itself, whole, so ties, repeated rows and skew do not matter.
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,10 +39,21 @@ NAMES = "|".join([*map(either_case, ("password", "passwd", "secret", "token")),
 ASSIGN = re.compile(rf"""(?:{NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SENSITIVE = re.compile(r"(?i)\b(?:key|secret|token|auth|bearer|credential|passw|private|signature|session)")
-#: Lengths of key characters; both a letter and a digit are asked for below.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-HAS_BOTH = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", re.S)
+WORDS = ("key", "secret", "token", "auth", "bearer", "credential", "passw", "private", "signature", "session")
+GLUED = "|".join(f"{a}key" for a in ("api", "access", "auth", "encryption", "secret", "signing"))
+#: A sensitive word at the start of a part of an identifier; parts begin after what is no letter and at changes of case.
+SENSITIVE = re.compile(
+    rf"(?<![^\W\d_])(?i:{'|'.join(WORDS)}|{GLUED})|{'|'.join(w.capitalize() for w in WORDS)}"
+    rf"|(?<=[a-z])(?:{'|'.join(w.upper() for w in WORDS)})"
+)
+SHORT, LONG = 8, 16
+#: Key characters, with "=" as padding at the end only.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORT},}}(?:={{1,2}}(?![A-Za-z0-9+/_=\x22\x27-]))?")
+#: A name and what stands between it and its value.
+NAMED = re.compile(r"""([\w.-]{1,64})["'\]]{0,2}[ \t]{0,4}(?::=|=>|[:=>])[ \t]{0,4}["'`]?\Z""")
+#: A candidate that is a name itself: words of letters before an assignment.
+NAME = re.compile(r"[A-Za-z]+(?:[_-][A-Za-z]+)*[0-9]{0,2}")
+ASSIGNED = re.compile(r"""["'\]]{0,2}[ \t]{0,4}[:=]""")
 #: Words and forms common in configuration and code, the raw content of the dictionary.
 IDENTIFIERS = """
 import from return function class const let var public private static final string int long double boolean null true false
@@ -84,15 +99,26 @@ class Novelty:
 
 def novel_spans(text: str, taken: list[Span], novelty: Novelty, reach: int = 64, least_share: float = 0.7) -> list[Span]:
     """Candidates in a sensitive context, outside ``taken``, whose marginal bytes are ``least_share`` of their length."""
-    if not SENSITIVE.search(text):
+    sensitive = [m.span() for m in SENSITIVE.finditer(text)]
+    if not sensitive:
         return []
+    starts, ends = zip(*sensitive)
     found = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not HAS_BOTH.search(m[0]) or any(s.start < b and a < s.end for s in taken):
+        # a word in reach before the candidate, or after it; matches do not overlap, so both lists are in order
+        k, n = bisect_right(ends, a) - 1, bisect_left(starts, b)
+        near = k >= 0 and starts[k] >= a - reach or n < len(starts) and ends[n] <= b + reach
+        if not near or any(s.start < b and a < s.end for s in taken):
             continue
         before, after = text[max(0, a - reach) : a], text[b : b + reach]
-        if SENSITIVE.search(before) and novelty.cost(before, m[0], after) >= least_share * len(m[0]):
+        if b - a < LONG:
+            named = NAMED.search(before)
+            if not named or not SENSITIVE.search(named[1]):
+                continue
+        if NAME.fullmatch(m[0]) and ASSIGNED.match(after):
+            continue
+        if novelty.cost(before, m[0], after) >= least_share * len(m[0]):
             found.append(Span(a, NOVEL, b))
     return found
 

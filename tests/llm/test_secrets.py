@@ -57,3 +57,19 @@ def test_stage_keeps_columns_and_handles_empty(spark):
     rows = [(1, "é token = abcdefgh é", "en", "s", 20), (1, "é token = abcdefgh é", "en", "s", 20), (2, None, None, None, None)]
     out = sorted(map(tuple, secrets.redacted_documents(spark.createDataFrame(rows, schema)).collect()))
     assert out == [(1, "é [redacted] é", "en", "s", 14)] * 2 + [(2, None, None, None, None)]
+
+
+def test_sensitive_parts_of_identifiers_and_both_sides():
+    value, letters, short = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ3pLtVhE8sG", "qZtKxWvRmLpYcNdHbGfJs", "h7Tq9wZx2"
+    novelty = secrets.Novelty()
+    found = lambda t: [t[s.start : s.end] for s in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    for form in (
+        "aws_secret_access_key = {}", "DB_CREDENTIAL: {}", "STRIPE_KEY={}", "export encryption_key={}", '{{"accessKey": "{}"}}',
+        "signingKey='{}'", "AWSKey={}", "key2 = {}", "authHeader => {}", "<privateKey>{}</privateKey>", "apikeys.main: {}", "myKEY={}",
+    ):
+        for v in (value, letters, short):
+            assert found("x = 1\n" + form.format(v) + "\nnothing more") == [v], (form, v)
+    assert found(f"PRIMARY_KEY={value[:22]}== end") == [value[:22] + "=="]
+    assert found(f"{value} is the signature of it") == [value]
+    assert found(f"the monkey and the turkey saw {value} there") == []
+    assert found("access_token_name = default_value_name") == []
