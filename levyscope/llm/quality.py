@@ -108,10 +108,8 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFra
     return found.where(F.col("n") > max_share * F.col("_docs")).select("host", "h")
 
 
-def quality_rules(
-    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.2, min_words: int = 20, min_kept: float = 0.3
-) -> DataFrame:
-    """One row per row of ``docs``: the counts, words in removed lines, ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, host: str, min_docs: int, max_share: float, min_words: int, min_kept: float) -> DataFrame:
+    """``quality_rules`` with ``host``, ``text_key``, and the hashes of the removed lines as ``removed_lines`` (null: none).
 
     The texts are read once; counts and line keys are written, and all later steps work on these. Counting and removal
     shuffle 64-bit keys with partial sums, so a host or a line held by a third of all rows is spread over many tasks.
@@ -132,15 +130,42 @@ def quality_rules(
     each = lines.select("_row", "host", F.explode("lines").alias("_line")).select("_row", "host", "_line.h", "_line.w")
     other = frequent.select(F.col("host").alias("_host"), F.col("h").alias("_h"))
     gone = each.join(other, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    gone = gone.groupBy("_row").agg(F.sum("w").alias("removed_words"))
-    out = lines.drop("lines", "text_key").join(gone, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    gone = gone.groupBy("_row").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
+    out = lines.drop("lines").join(gone, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < min_kept * F.col("n_words")))
     out = out.withColumns({"base_failed": base_failed(), "depleted": depleted})
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("_row", "host")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("_row")
+
+
+def quality_rules(
+    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.2, min_words: int = 20, min_kept: float = 0.3
+) -> DataFrame:
+    """One row per row of ``docs``: the counts, words in removed lines, ``base_failed``, ``depleted`` and ``kept``.
+    ``kept_documents`` has the texts without these lines."""
+    return judged(docs, host, min_docs, max_share, min_words, min_kept).drop("host", "text_key", "removed_lines")
+
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of ``hashes``; lines without a word stay."""
+    lines = F.split(text, "\n")
+    stays = F.filter(lines, lambda x: ~x.rlike(A_WORD) | ~F.array_contains(hashes, F.xxhash64(normal_line(x))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
-def kept_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are not rejected, with all their columns. Rows without a ``doc_id`` cannot be named and go."""
-    kept = quality_rules(docs, **limits).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+
+def kept_documents(
+    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.2, min_words: int = 20, min_kept: float = 0.3
+) -> DataFrame:
+    """The documents that are not rejected, with all their columns; ``text`` is without the lines above the limits, and
+    ``n_chars`` is counted anew where lines went. Rows without a ``doc_id`` cannot be named and go."""
+    kept = judged(docs, host, min_docs, max_share, min_words, min_kept).where("kept")
+    # equal texts of a host lose the same lines, so any row of a key has the result of all
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"))
+    kept = stage(kept.agg(F.first("removed_lines").alias("_gone")), "kept-documents").df
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    out = docs.join(kept, same & F.col(host).cast("string").eqNullSafe(F.col("_host")))
+    cut = {"text": without_lines(F.col("text"), F.col("_gone"))}
+    if "n_chars" in docs.columns:
+        length = F.length(cut["text"]).cast(docs.schema["n_chars"].dataType)
+        cut["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(length)
+    return out.withColumns(cut).select(docs.columns)

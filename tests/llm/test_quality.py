@@ -87,3 +87,18 @@ def test_stage_empty_repeated_and_clashing(spark):
     rows = [(1, good, "a", "k", 1, 2), (1, good, "a", "k", 1, 2), (2, "short", "a", None, None, None), (None, good, "a", None, None, None)]
     out = quality.kept_documents(spark.createDataFrame(rows, schema))
     assert [tuple(r) for r in out.collect()] == [rows[0], rows[0]] and out.columns == ["doc_id", "text", "source", "kept", "h", "n_words"]
+
+
+def test_stage_removes_lines_above_the_limits(spark):
+    rnd = random.Random(4)
+    body = lambda: " ".join(str(rnd.random()).replace("0", "x") for _ in range(30))
+    menu = "Home | About | Contact us now page 7"
+    rows = [(i, f"{menu}\n\n{body()}", None if i % 2 else "b", -1) for i in range(40)]
+    rows += [(50, f"{body()}\n{menu}\n{menu.upper()}", "c", -1), (51, f"{menu}\nonly a few words", "b", -1), (1, rows[1][1] + " more", None, -1)]
+    want = []
+    for i, t, h, n in rows:
+        if i != 51:
+            cut = t if h == "c" else "\n".join(x for x in t.split("\n") if normal(x) != normal(menu))
+            want.append((i, cut, h, n if h == "c" else len(cut)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    assert sorted(map(tuple, quality.kept_documents(df).collect()), key=str) == sorted(want, key=str)
