@@ -18,7 +18,8 @@ Rows travel in packed blocks, one per map task and bucket; the number of buckets
 
 Null texts count as empty, and texts under ``depth`` bytes are left alone. A null ``doc_id`` counts as larger than any
 other. Repeated rows (same ``doc_id`` and text) are one document and get the same result; different texts under one
-``doc_id`` are separate documents in the order of a 16-bit hash of their text.
+``doc_id`` are separate documents, each with its own number, in the order of a 16-bit hash of their text, then of the whole
+hash, then of the text.
 """
 
 from __future__ import annotations
@@ -459,11 +460,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_b
     """
     base = texts(docs)
     doubled = not base.groupBy("doc_id").count().where("count > 1").isEmpty()
-    tag = F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int") if doubled else F.lit(0)
-    base = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), tag.alias("tag"), "text")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
+    base = base.select(number.alias("doc"), F.lit(0).alias("tag"), "text")
     n_parts = max(64, 4 * docs.rdd.getNumPartitions())
-    if doubled:
-        base = base.dropDuplicates(["doc", "tag", "text"])
+    if doubled:  # each distinct (doc, text) is a document of its own: row numbers that follow the sorted order, written once
+        held = base.select("doc", F.xxhash64("text").alias("hash"), "text")
+        ordered = held.distinct().orderBy("doc", F.pmod("hash", F.lit(65536)), "hash", "text")
+        numbered = stage(ordered.withColumn("n", F.monotonically_increasing_id()), "numbered-texts").df
+        base = numbered.select(F.col("n").alias("doc"), F.lit(0).alias("tag"), "text")
     flagged = second_pass(first_pass(base, n_parts, depth, gram), n_parts)
     step = stage(third_pass(packed_texts(base, n_parts), flagged, n_parts, depth, gram, with_bytes), "suffix-halves").df
     found = fourth_pass(step.where(F.col("kind") == RUN), n_parts, depth)
@@ -472,6 +476,6 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_b
     out = step.where(F.col("kind") == DONE).select(columns).unionByName(rest.select(columns))
     out = out if with_bytes else out.drop("kept_bytes")
     if doubled:  # every row gets the result of its document
-        keys = texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), tag.alias("tag"))
-        out = keys.join(out, ["doc", "tag"])
+        keys = held.join(numbered, ["doc", "hash", "text"]).select("doc", "n")
+        out = keys.join(out.withColumnRenamed("doc", "n"), "n").select("doc", *out.columns[1:])
     return out.select(F.when(F.col("doc") != int(LAST), F.col("doc")).alias("doc_id"), *out.columns[2:])

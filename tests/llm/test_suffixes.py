@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from levyscope.llm import suffixes
 
 
@@ -76,3 +78,12 @@ def test_repeated_rows_null_ids_and_empty(spark):
     out = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(df).collect())
     assert out == [(0, 5, 0), (0, 200, 200), (1, 200, 0), (1, 200, 0)]
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_texts_under_one_id_and_under_null(spark):
+    """Over 65,536 texts in all share an id or have none; each keeps its own result."""
+    text = F.concat(F.lit("t"), F.col("id"), F.repeat(F.lit("x"), F.pmod("id", F.lit(40)).cast("int")))
+    docs = spark.range(0, 150_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), text.alias("text"))
+    out = suffixes.remove_repeats(docs, with_bytes=True).select("doc_id", F.col("kept_bytes").cast("string").alias("text"))
+    assert out.count() == 150_000
+    assert out.exceptAll(docs).isEmpty() and docs.exceptAll(out).isEmpty()
