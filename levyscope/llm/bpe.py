@@ -40,7 +40,8 @@ OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 #: Letters and digits up to here have not changed between versions of Unicode; later ones are left to the library.
 PLAIN_END = "ɏ"
 LONG_PIECE = 4096
-MEMO = 800_000
+#: Most pieces an encoder keeps (about 100 MB), and most a count of pieces holds before it is handed on.
+MEMO = 300_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -257,12 +258,14 @@ def spelled(piece: str) -> str:
 
 
 class Encoder:
-    """Encodes texts; keeps what it has seen, up to ``MEMO`` pieces, as packed ids."""
+    """Encodes texts; keeps what it has seen, up to ``MEMO`` pieces, as packed ids. Beyond that, and between tasks, only the
+    pieces of the last batch stay, which hold nearly all common words."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = Vocabulary(path), lexicon
         self.memo: dict[str, bytes | None] = {}
         self.held: dict[str, bytes] = {}  # what the lexicon has given, never forgotten and no more than it holds
+        self.last: set[str] = set()
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in special)) if special else None
 
@@ -339,15 +342,19 @@ class Encoder:
                 mine.append((part, pieces))
                 needed.update(pieces)
             parts.append(mine)
-        needed.difference_update([p for p in needed if p in self.memo])
-        if needed:
-            if len(self.memo) + len(needed) > MEMO:
-                needed.update(p for mine in parts for x in mine if isinstance(x, tuple) for p in x[1])
-                self.memo = dict(self.held)
-                needed.difference_update([p for p in needed if p in self.memo])
-            self.learn(needed)
+        self.last = needed
+        unknown = {p for p in needed if p not in self.memo}
+        if unknown:
+            if len(self.memo) + len(unknown) > MEMO:
+                self.trim()
+            self.learn(unknown)
         return [b"".join(x if isinstance(x, bytes) else self.joined(*x) for x in mine) for mine in parts]
 
+    def trim(self) -> None:
+        """Keep what the lexicon gave and the pieces of the last batch."""
+        memo = self.memo
+        self.memo = self.held | {p: memo[p] for p in self.last if p in memo}
+
     def joined(self, text: str, pieces: list[str]) -> bytes:
         try:
             return b"".join(map(self.memo.__getitem__, pieces))
@@ -428,6 +435,7 @@ def encode_decode(docs: DataFrame, path: str, lexicon_size: int = 50_000, with_i
                 out.append((len(ids), *digests, *((packed, text) if with_ids else ())))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names[: 1 + len(columns)])
+        encoder.trim()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]

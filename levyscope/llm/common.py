@@ -39,3 +39,11 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.Reco
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: read many times, computed once, safe from lost executors."""
     return stage(df, label).df
+
+
+def unlike(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -50,6 +50,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: in
             columns = [batch.column("doc_id").take(pa.array(of)), *columns]
             more = [pa.array(ids, pa.binary())] if with_ids else []
             yield pa.RecordBatch.from_arrays([*columns, *more], names + ["ids"] * with_ids)
+        encoder.trim()
 
     ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return texts(docs).mapInArrow(run, ddl)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.llm.common import SPACES
+from levyscope.llm.common import SPACES, unlike
 from levyscope.scale import stage
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -139,7 +139,7 @@ def judged(docs: DataFrame, host: str, min_docs: int, max_share: float, min_word
 
 
 def quality_rules(
-    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.2, min_words: int = 20, min_kept: float = 0.3
+    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.01, min_words: int = 20, min_kept: float = 0.3
 ) -> DataFrame:
     """One row per row of ``docs``: the counts, words in removed lines, ``base_failed``, ``depleted`` and ``kept``.
     ``kept_documents`` has the texts without these lines."""
@@ -154,18 +154,19 @@ def without_lines(text: Column, hashes: Column) -> Column:
 
 
 def kept_documents(
-    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.2, min_words: int = 20, min_kept: float = 0.3
+    docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.01, min_words: int = 20, min_kept: float = 0.3
 ) -> DataFrame:
     """The documents that are not rejected, with all their columns; ``text`` is without the lines above the limits, and
-    ``n_chars`` is counted anew where lines went. Rows without a ``doc_id`` cannot be named and go."""
+    ``n_chars`` is counted anew where lines went."""
     kept = judged(docs, host, min_docs, max_share, min_words, min_kept).where("kept")
+    id_, home, key, gone = (unlike(docs, name) for name in ("id", "home", "key", "gone"))
     # equal texts of a host lose the same lines, so any row of a key has the result of all
-    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"))
-    kept = stage(kept.agg(F.first("removed_lines").alias("_gone")), "kept-documents").df
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    out = docs.join(kept, same & F.col(host).cast("string").eqNullSafe(F.col("_host")))
-    cut = {"text": without_lines(F.col("text"), F.col("_gone"))}
+    kept = kept.groupBy(F.col("doc_id").alias(id_), F.col("host").alias(home), F.col("text_key").alias(key))
+    kept = stage(kept.agg(F.first("removed_lines").alias(gone)), "kept-documents").df
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
+    out = docs.join(kept, same & F.col(host).cast("string").eqNullSafe(F.col(home)))
+    cut = {"text": without_lines(F.col("text"), F.col(gone))}
     if "n_chars" in docs.columns:
         length = F.length(cut["text"]).cast(docs.schema["n_chars"].dataType)
-        cut["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(length)
+        cut["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(length)
     return out.withColumns(cut).select(docs.columns)

@@ -38,7 +38,7 @@ ln AS (SELECT doc_id, host, text, regexp_extract_all(line, '[^ ]+') AS lw, line
         trim(regexp_replace(translate(lower(unnest(ls)), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM w)),
 docs_of AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM ln GROUP BY host, line) JOIN docs_of USING (host)
-        WHERE n >= 10 AND n > 0.2 * docs),
+        WHERE n >= 10 AND n > 0.01 * docs),
 gone AS (SELECT doc_id, sum(len(lw)) AS n FROM ln SEMI JOIN freq USING (host, line) GROUP BY doc_id),
 r AS (SELECT base.*, coalesce(gone.n, 0) AS removed, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
       FROM base LEFT JOIN gone USING (doc_id))

@@ -23,10 +23,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.llm.common import rows, texts
+from levyscope.llm.common import rows, texts, unlike
 from levyscope.operators.graph import hooked
 from levyscope.scale import stage
 
@@ -79,9 +79,9 @@ def set_key(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1, sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1, sets: bool = False, keyed: bool = False) -> DataFrame:
     """``doc_id`` and the fingerprint as ``n_words`` long columns f0, f1, ... With ``sets`` a repeated shingle counts once,
-    and ``set_key`` tells different sets apart."""
+    and ``set_key`` tells different sets apart. With ``keyed`` a row also has the hash of its text as ``text_key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
@@ -95,11 +95,16 @@ def fingerprints(docs: DataFrame, size: int = 3, n_words: int = 1, sets: bool =
                 if len(h):
                     out[:, i] = [majority(remix(h, w)) for w in range(n_words)]
             columns = [pa.array(f.view(np.int64)) for f in out] + [pa.array(keys, pa.int64())] * sets
+            if keyed:
+                columns.append(batch.column("text_key"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
-    names = [f"f{w}" for w in range(n_words)] + ["set_key"] * sets
+    names = [f"f{w}" for w in range(n_words)] + ["set_key"] * sets + ["text_key"] * keyed
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    base = texts(docs)
+    if keyed:
+        base = base.withColumn("text_key", F.xxhash64("text"))
+    return base.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -299,7 +304,12 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, links: DataFrame, size:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 3, n_words: int = 1, radius: int = 3, total: int | None = None, least: float | None = None
+    docs: DataFrame,
+    size: int = 3,
+    n_words: int = 1,
+    radius: int = 3,
+    total: int | None = None,
+    least: float | None = None,
 ) -> DataFrame:
     """``doc_id``, the fingerprint words, and ``component_id``, the least ``doc_id`` reachable over links.
 
@@ -315,19 +325,34 @@ def near_duplicates(
     links = near_links(named, n_words, radius, total)
     if least is not None:
         links = confirmed_links(docs, named, links, size, n_words, radius, total, least)
-    moved = hooked(links)
-    classes = groups.join(moved, groups["node"] == moved["id"], "left")
-    classes = stage(classes.select(*same, F.coalesce("root", "node").alias("component_id")), "classes").df
-    return marked.join(classes, same).select("doc_id", *words, "component_id")
-
+    return marked.join(classes(groups, same, links), same).select("doc_id", *words, "component_id")
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """Documents with one kept of each group of near-duplicates: the one with the least ``doc_id``.
 
-    Near-duplicates share 0.8 or more of their five-word shingles (Jaccard similarity), directly or over others. Candidates
-    come from fingerprints of 256 bits: 39 differing bits are expected at 0.8, with a deviation of 6, and 10 with a deviation
-    of 3 in the first word; 64 and 22 are allowed, more than four deviations.
-    """
-    found = near_duplicates(docs, size=5, n_words=4, radius=22, total=64, least=0.8)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def classes(groups: DataFrame, same: list[str], links: DataFrame) -> DataFrame:
+    """The columns ``same`` of every group and the least node that links connect it with, as ``component_id``."""
+    moved = hooked(links)
+    out = groups.join(moved, groups["node"] == moved["id"], "left")
+    return stage(out.select(*same, F.coalesce("root", "node").alias("component_id")), "classes").df
+
+
+def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """Documents with one kept of each group of near-duplicates: the least by ``doc_id`` (null: last), then by the hash of
+    the text. Documents without a ``doc_id``, and different texts under one, are documents like any other."""
+    marked = fingerprints(docs, size, keyed=True)
+    # the number is written with its row and so never changes; it names a row where a doc_id is missing or repeated
+    marked = stage(marked.withColumn("n", F.monotonically_increasing_id()), "fingerprints").df
+    groups = stage(marked.groupBy("f0").agg(F.min("n").alias("node")), "distinct-fingerprints").df
+    found = marked.join(classes(groups, ["f0"], near_links(groups, 1, radius, radius)), "f0")
+    # the least row of a group as one value: partial minima, so a group of very many copies sends one row per map task
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    kept = stage(found.groupBy("component_id").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_key"), "kept-documents").df
+    id_, key = unlike(docs, "id"), unlike(docs, "key")
+    kept = kept.withColumnsRenamed({"doc_id": id_, "text_key": key})
+    alike = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    out = docs.join(kept, alike)
+    if out.groupBy(id_, key).count().where("count > 1").isEmpty():
+        return out.select(docs.columns)
+    # rows that agree in id and text: the least by the other columns stays
+    order = Window.partitionBy(id_, key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    place = unlike(docs, "place")
+    return out.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(docs.columns)

@@ -24,7 +24,7 @@ def normal(line):
     return " ".join(WORD.findall(re.sub("[0-9]", "0", line.lower())))
 
 
-def expected(docs, min_docs=10, max_share=0.2, min_words=20, min_kept=0.3):
+def expected(docs, min_docs=10, max_share=0.01, min_words=20, min_kept=0.3):
     held, texts = defaultdict(set), defaultdict(set)
     lines = lambda t: [normal(x) for x in (t or "").split("\n") if WORD.search(x)]
     for _, t, host in docs:
@@ -74,6 +74,24 @@ def test_equals_brute_force(spark):
     assert any(w[-2] for w in want.values()) and any(not w[5] and not w[-1] for w in want.values())
 
 
+def test_names_of_the_operator_in_the_table(spark):
+    good = " ".join(f"word{i}x" for i in range(40))
+    schema = "doc_id long, text string, source string, id long, home string, key long, GONE int, _gone int, _id int"
+    rows = [(1, good, "a", 7, "h", 8, 9, 10, 11), (2, "short", "a", 1, "h", 1, 1, 1, 1)]
+    out = quality.kept_documents(spark.createDataFrame(rows, schema))
+    assert [tuple(r) for r in out.collect()] == rows[:1]
+
+
+def test_the_line_rule_decides_on_the_given_tables(spark):
+    """Lines go and documents are rejected for it, few of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    seen = quality.quality_rules(docs).selectExpr(
+        "count(*) AS n", "count_if(removed_words > 0) AS cut", "count_if(NOT base_failed AND NOT kept) AS depleted"
+    )
+    n, cut, depleted = seen.first()
+    assert n == 10_000 and cut > 1000 and 10 < depleted < 100
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(corpus()[:5], "doc_id long, text string, source string")
     plan = quality.quality_rules(docs)._jdf.queryExecution().toString()
@@ -86,7 +104,7 @@ def test_stage_empty_repeated_and_clashing(spark):
     good = " ".join(f"word{i}x" for i in range(40))
     rows = [(1, good, "a", "k", 1, 2), (1, good, "a", "k", 1, 2), (2, "short", "a", None, None, None), (None, good, "a", None, None, None)]
     out = quality.kept_documents(spark.createDataFrame(rows, schema))
-    assert [tuple(r) for r in out.collect()] == [rows[0], rows[0]] and out.columns == ["doc_id", "text", "source", "kept", "h", "n_words"]
+    assert [tuple(r) for r in out.collect()] == [rows[0], rows[0], rows[3]] and out.columns == ["doc_id", "text", "source", "kept", "h", "n_words"]
 
 
 def test_stage_removes_lines_above_the_limits(spark):

@@ -71,16 +71,20 @@ def test_empty_null_ids_and_extra_columns(spark):
 
 
 def test_stage_keeps_one_of_each_group(spark):
-    rnd = random.Random(5)
-    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(2000)]
-    base = [rnd.choices(words, k=200) for _ in range(20)]
-    docs = [(i, " ".join(w)) for i, w in enumerate(base)]
-    for i, w in enumerate(base[:10]):
-        w = list(w)
-        w[50], w[120] = "changed", "also"
-        docs.append((100 + i, " ".join(w)))
-    left = simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id for r in left.collect()} == set(range(20))
+    """Links are those of the fingerprints; rows without an id and rows that differ only under one id are documents too."""
+    texts = dict(corpus())
+    docs = [(i, t, i % 3) for i, t in texts.items()]
+    docs += [(0, texts[0], 9), (0, "another text under the same id", 1), (None, texts[1], 1), (None, "without an id", 2)]
+    want = [i for i, (_, c) in expected(texts.items()).items() if i == c]
+    assert 1 < len(want) < len(texts)
+    df = spark.createDataFrame(docs, "doc_id long, text string, id int").repartition(3)
+    left = simhash.first_of_each(df).collect()
+    assert left[0].asDict().keys() == {"doc_id", "text", "id"}
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id is not None) == sorted(
+        [(i, texts[i]) for i in want] + [(0, "another text under the same id")]
+    )
+    assert [r.text for r in left if r.doc_id is None] == ["without an id"]
+    assert [r.id for r in left if r.text == texts[0]] == [0]
 
 
 def jaccard_components(docs, least=0.8):
@@ -92,7 +96,7 @@ def jaccard_components(docs, least=0.8):
     return components(sets, [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
 
 
-def test_stage_links_by_similarity_of_shingle_sets(spark, monkeypatch):
+def test_links_by_similarity_of_shingle_sets(spark, monkeypatch):
     """Edited copies on both sides of 0.8, with repeated lines; links are those of brute force, nothing less similar."""
     rnd = random.Random(9)
     words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(2000)]
@@ -109,6 +113,8 @@ def test_stage_links_by_similarity_of_shingle_sets(spark, monkeypatch):
     want = {i for i, c in jaccard_components(docs).items() if i == c}
     assert 60 < len(want) < 200
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in simhash.first_of_each(df).collect()} == want
+    rule = {"size": 5, "n_words": 4, "radius": 22, "total": 64, "least": 0.8}
+    left = lambda: {r.doc_id for r in simhash.near_duplicates(df, **rule).collect() if r.doc_id == r.component_id}
+    assert left() == want
     monkeypatch.setattr(simhash, "PACK", 2)  # every group is large
-    assert {r.doc_id for r in simhash.first_of_each(df).collect()} == want
+    assert left() == want
