@@ -142,3 +142,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.whitening import whitened_components
+
+    return whitened_components(table(spark, sf_dir, "embeddings"))
