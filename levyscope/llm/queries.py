@@ -149,3 +149,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.whitening import whitened_components
 
     return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_document_fingerprints")
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.parsing import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
