@@ -156,3 +156,37 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from levyscope.llm.parsing import edited_likeness
 
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+      FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+        FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+s AS (SELECT lang, phrase, a, arg_min({'l': l, 'r': r, 's': s}, (s, k)) AS b
+      FROM (SELECT cut.lang, cut.phrase, a, k, f1.n AS l, f2.n AS r, (2000000::HUGEINT * a) // (f1.n + f2.n) AS s FROM cut
+            JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = x JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = y)
+      GROUP BY lang, phrase, a),
+inner_ AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, a, k, unnest(generate_series(1, m - k + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS k FROM c WHERE m > 2))
+      GROUP BY ALL),
+r AS (SELECT s.lang, s.phrase, a, b.l AS l, b.r AS r, b.s AS score,
+        row_number() OVER (PARTITION BY s.lang ORDER BY b.s DESC, a DESC, s.phrase) AS rank
+      FROM s LEFT JOIN inner_ USING (lang, phrase) WHERE NOT coalesce(100 * longer::HUGEINT >= 80 * a::HUGEINT, false))
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, total.n, score::BIGINT AS score
+FROM r JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from levyscope.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

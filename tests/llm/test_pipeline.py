@@ -59,7 +59,7 @@ def test_every_stage_takes_effect(spark):
 def test_run_is_registered_and_works_on_the_given_tables(spark):
     out = entry.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert out.count() > 150 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
-    assert {f"op{n}" for n in range(1, 13)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
 
 
 def test_repeated_ids_and_empty_tables(spark):
