@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import ieee_div, is_number, mean_of_numbers, nan_as_missing, strict_mean, strict_sum, t_quantile, weighted_mean
@@ -68,8 +68,8 @@ def ols_interval(
 ) -> DataFrame:
     """Line per group with a confidence interval of its slope.
 
-    ``pool`` uses one residual variance and its degrees of freedom for all groups, otherwise each group has its own.
-    Everything comes from one pass of mergeable moments.
+    ``pool`` uses one residual variance and its degrees of freedom for all groups, otherwise each group has its own: a group
+    of three rows has one degree of freedom, one of two rows no interval. Everything comes from one pass of mergeable moments.
     """
     moments = df.groupBy(*by).agg(
         F.regr_intercept(y, x).alias("intercept"),
@@ -83,9 +83,9 @@ def ols_interval(
     rss = F.greatest(F.col("__syy") - F.col("__sxy") * F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0)), F.lit(0.0))
     fits = moments.withColumn("__rss", rss).withColumn("__df", F.greatest(F.col("n") - 2, F.lit(0)))
     if pool:
-        # one row per group: a window over all of them is cheaper than a second pass, and stays small as the data grows
-        every = Window.partitionBy()
-        fits = fits.withColumns({"__s": F.sum("__rss").over(every), "__d": F.sum("__df").over(every)})
+        # partial sums of the groups' rows; the moments' exchange is the same in both branches, so it is made once
+        whole = fits.agg(F.sum("__rss").alias("__s"), F.sum("__df").alias("__d"))
+        fits = fits.crossJoin(F.broadcast(whole))  # one row
     else:
         fits = fits.withColumns({"__s": F.col("__rss"), "__d": F.col("__df")})
     free = F.nullif(F.col("__d").cast("double"), F.lit(0.0))

@@ -2,75 +2,108 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.operators.graph import hooked
-from levyscope.operators.spatial import area, cells, centre, level_of
+from levyscope.operators.spatial import area, cells, centre, edges_of, level_of
 from levyscope.scale import stage
 from levyscope.sources.readers import rings_of
 
 
-TURNS = 20_000  # angle classes in half a turn
-NEAR = 1e-9  # distance within which two lines are one, and the least length that two edges must share
+#: Side of the lattice on which corners are compared: a tenth of a millimetre in degrees. Corners are whole multiples of it.
+LATTICE = 1e-9
+#: Most pieces in which a long edge looks for corners.
+MOST_PIECES = 1024
 
 
-def edges_on_lines(polygons: DataFrame, keep: list[str]) -> DataFrame:
-    """Edges as (geoid, angle class, offset of the line, interval t0..t1 along it). Only end points are copied, no ring."""
+def lattice_edges(polygons: DataFrame, keep: list[str]) -> DataFrame:
+    """Edges of all rings between lattice points, (geoid, ax, ay, bx, by) as whole numbers, the lesser end first; edges of no
+    length go. Corners that are meant to be the same must differ by far less than a step."""
 
-    def segments(ring):
-        return F.transform(
-            F.sequence(F.lit(1), F.size(ring) - 1),
-            lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i + 1).alias("q")),
-        )
+    def whole(v):
+        return F.round(v / LATTICE).cast("long")
 
-    parts = polygons.select("geoid", *keep, F.inline(F.flatten(F.transform(rings_of(polygons), segments))))
-    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
-    long = F.hypot(dx, dy)
-    turn = F.pmod(F.round(F.atan2(dy, dx) / math.pi * TURNS), F.lit(TURNS)).cast("int")
-    # the direction of a line: rightwards if level, else upwards
-    flip = F.when(turn == 0, F.signum(dx)).otherwise(F.signum(dy))
-    parts = parts.where(long > 0).withColumns({"_turn": turn, "_ux": flip * dx / long, "_uy": flip * dy / long})
-    t1, t2 = (F.col(f"{c}.x") * F.col("_ux") + F.col(f"{c}.y") * F.col("_uy") for c in "pq")
-    offset = F.col("p.y") * F.col("_ux") - F.col("p.x") * F.col("_uy")
-    return parts.select("geoid", *keep, "_turn", offset.alias("_c"), F.least(t1, t2).alias("_t0"), F.greatest(t1, t2).alias("_t1"))
+    each = polygons.select("geoid", *keep, F.inline(edges_of(rings_of(polygons))))
+    each = each.select("geoid", *keep, *[whole(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")])
+    return each.where("ax <> bx OR ay <> by").select("geoid", *keep, *lesser_first("ax", "ay", "bx", "by"))
 
 
-def shared_edges(polygons: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Pairs of polygons (a < b) whose boundaries meet along a line, be it a part of an edge only.
+def lesser_first(px, py, qx, qy):
+    """The ends of an edge as ax, ay, bx, by in order."""
+    px, py, qx, qy = (F.col(c) if isinstance(c, str) else c for c in (px, py, qx, qy))
+    flip = (px > qx) | ((px == qx) & (py > qy))
+    pairs = {"ax": (px, qx), "ay": (py, qy), "bx": (qx, px), "by": (qy, py)}
+    return [F.when(flip, q).otherwise(p).alias(name) for name, (p, q) in pairs.items()]
+
 
-    Edges meet on the line that supports them and, along it, on grid cells of their own size: an edge covers at most two
-    cells of its level and joins the edges of finer or equal levels there. A long line with very many edges is so no hot key.
+def _near_corners(edges: DataFrame, usual: float) -> DataFrame:
+    """(ax, ay, bx, by, at, vx, vy) for every corner v that lies inside an edge; ``at`` orders the corners along it.
+
+    Corners and edges meet on grid cells. An edge up to the ``usual`` size lies on the grid of its own size; a longer one is
+    looked at in pieces of that size (``MOST_PIECES`` at most), so a long edge does not meet all corners of its surroundings.
+    """
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    size = F.greatest(F.abs(dx), F.abs(dy)).cast("double")
+    least = F.greatest(size / MOST_PIECES, F.least(size, F.lit(usual)))
+    lines = edges.select("ax", "ay", "bx", "by").distinct()
+    lines = lines.withColumns({"_level": level_of(least, 2.0), "_n": F.ceil(size / F.pow(F.lit(2.0), level_of(least, 2.0))).cast("int")})
+    levels = lines.agg(F.collect_set("_level").alias("_levels"))  # one row, a few exponents
+    piece = lines.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(1)) - 1)))
+
+    def reach(a, d, axis):
+        ends = [F.col(a) + d * (F.col("_i") + k) / F.greatest("_n", F.lit(1)) for k in (0, 1)]
+        # two steps of the lattice to each side: a corner beside the edge may lie in the next cell
+        return F.explode(cells(F.least(*ends) - 2, F.greatest(*ends) + 2, F.col("_level"))).alias(axis)
+
+    piece = piece.select("*", reach("ax", dx, "_cx")).select("*", reach("ay", dy, "_cy")).drop("_i", "_n").distinct()
+    corners = edges.select(F.col("ax").alias("vx"), F.col("ay").alias("vy")).distinct()  # a ring starts an edge at every corner
+    placed = corners.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    cell = F.pow(F.lit(2.0), F.col("_level"))
+    placed = placed.withColumns({"_cx": F.floor(F.col("vx") / cell), "_cy": F.floor(F.col("vy") / cell)})
+    met = piece.join(placed, ["_level", "_cx", "_cy"])
+    # differences of lattice points are exact in doubles, and so far smaller than 2^53 that a product errs by a small part of a step
+    ex, ey = dx.cast("double"), dy.cast("double")
+    wx, wy = (F.col("vx") - F.col("ax")).cast("double"), (F.col("vy") - F.col("ay")).cast("double")
+    beside = F.abs(ex * wy - ey * wx) <= F.hypot(ex, ey)  # at most one step from the line
+    along = ex * wx + ey * wy
+    inside = (along > 0) & (along < ex * ex + ey * ey)
+    own = ((F.col("vx") == F.col("ax")) & (F.col("vy") == F.col("ay"))) | ((F.col("vx") == F.col("bx")) & (F.col("vy") == F.col("by")))
+    return met.where(beside & inside & ~own).select("ax", "ay", "bx", "by", along.alias("at"), "vx", "vy")
+
+
+def edge_pieces(polygons: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The edges of all polygons, split at every corner that lies on them: (geoid, keep, ax, ay, bx, by), the lesser end first.
+
+    What two boundaries share is then the same piece in both, an exact key of four whole numbers, whatever the direction of
+    the edges and wherever on the plane they lie.
     """
     keep = keep or []
-    edges = edges_on_lines(polygons, keep).withColumn("_own", level_of(F.col("_t1") - F.col("_t0"), 1e-6))
-    edges = stage(edges.withColumn("_line", F.round(F.col("_c") / (10 * NEAR)).cast("long")), "edges").df
-    levels = edges.agg(F.collect_set("_own").alias("_levels"))  # one row, a few exponents
-    wide = edges.withColumn("_level", F.col("_own"))
-    fine = edges.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).where("_level >= _own").drop("_levels")
-    # a line's number is rounded: look at both neighbours as well
-    fine = fine.withColumn("_line", F.explode(F.array(F.col("_line") - 1, F.col("_line"), F.col("_line") + 1)))
-
-    def gridded(df):
-        return df.withColumn("_cell", F.explode(cells(F.col("_t0"), F.col("_t1"), F.col("_level"))))
-
-    mine = ["geoid", *keep, "_c", "_t0", "_t1"]
-    other = gridded(fine).select("_turn", "_line", "_level", "_cell", *[F.col(c).alias(f"{c}_o") for c in mine])
-    met = gridded(wide).join(other, ["_turn", "_line", "_level", "_cell"])
-    shared = F.least("_t1", "_t1_o") - F.greatest("_t0", "_t0_o")
-    met = met.where((F.col("geoid") != F.col("geoid_o")) & (F.abs(F.col("_c") - F.col("_c_o")) <= NEAR) & (shared > NEAR))
-    first = F.col("geoid") < F.col("geoid_o")
-
-    def pick(c, low):
-        return F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"{c}_o"))
-
-    pairs = met.select(
-        pick("geoid", True).alias("a"),
-        pick("geoid", False).alias("b"),
-        *[x for k in keep for x in (pick(k, True).alias(k), pick(k, False).alias(f"{k}_b"))],
-    )
+    edges = stage(lattice_edges(polygons, keep), "lattice-edges").df
+    long = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    usual = edges.agg(F.percentile_approx(long, 0.5)).first()[0] or 1
+    line = ["ax", "ay", "bx", "by"]
+    split = stage(_near_corners(edges, float(usual)).distinct(), "split-edges").df
+    # the stops of an edge: its start, the corners on it, and its end through the next stop of the last one
+    cut = split.select(*line).distinct()
+    starts = cut.select(*line, F.lit(0.0).alias("at"), F.col("ax").alias("vx"), F.col("ay").alias("vy"))
+    stops = split.select(*line, "at", "vx", "vy").unionByName(starts)
+    order = Window.partitionBy(*line).orderBy("at", "vx", "vy")
+    nx, ny = (F.coalesce(F.lead(v).over(order), F.col(e)) for v, e in (("vx", "bx"), ("vy", "by")))
+    parts = stops.select(*line, F.col("vx").alias("px"), F.col("vy").alias("py"), nx.alias("qx"), ny.alias("qy"))
+    whole = edges.join(parts, line, "left")
+    ends = [F.coalesce(c, e) for c, e in zip(("px", "py", "qx", "qy"), line)]
+    return whole.select("geoid", *keep, *lesser_first(*ends))
+
+
+def shared_edges(polygons: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Pairs of polygons (a < b) whose boundaries meet along a line, be it a part of an edge only."""
+    keep = keep or []
+    line = ["ax", "ay", "bx", "by"]
+    pieces = stage(edge_pieces(polygons, keep).distinct(), "edge-pieces").df
+    other = pieces.select(*line, *[F.col(c).alias(f"{c}_b") for c in ("geoid", *keep)])
+    met = pieces.join(other, line).where(F.col("geoid") < F.col("geoid_b"))
+    pairs = met.select(F.col("geoid").alias("a"), F.col("geoid_b").alias("b"), *[x for k in keep for x in (k, f"{k}_b")])
     return pairs.distinct()
 
 
@@ -118,36 +151,86 @@ def area_filter(clusters: DataFrame, category: str, top: int = 2, min_share: flo
     return largest.unionByName(shared.where(F.col("area_share") >= min_share)).dropDuplicates(["cluster_id"])
 
 
-def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, target) for every point (id, x, y): the nearest of ``targets`` (target, x, y), the least target among equals.
+#: Targets in a leaf of the quadtree, bits of a coordinate, and bits by which a search descends in a round.
+LEAF = 16
+BITS = 30
+STEP = 2
+
+
+def quadtree(targets: DataFrame, box: tuple[float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and leaves of a tree over ``targets`` (target, tx, ty): a cell that holds more than ``LEAF`` targets is divided into
+    ``4 ** STEP`` cells, down to ``2 ** -BITS`` of the ``box`` (least x, least y, side).
 
-    A search on grids that double: in a cell of side r all targets within r are in the nine cells around, so a point whose
-    best candidate is within r is done, and the others go on to cells of twice the side. Each round writes what is left.
+    Nodes are (level, cx, cy, leaf) with the box around their targets; ``leaf`` targets are (level, cx, cy, target, tx, ty). Counts
+    are partial aggregates over the cells of all levels, so no cell is collected, however many targets it holds.
+    """
+    x0, y0, side = box
+    unit = (1 << BITS) / side
+
+    def code(c, least):
+        return F.least(F.floor((F.col(c) - least) * unit), F.lit((1 << BITS) - 1))
+
+    rounds = BITS // STEP
+    coded = targets.withColumns({"_ix": code("tx", x0), "_iy": code("ty", y0)})
+    each = coded.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    cell = [F.expr(f"shiftright({c}, ({rounds} - level) * {STEP})").alias(n) for c, n in (("_ix", "cx"), ("_iy", "cy"))]
+    each = each.select("level", *cell, "target", "tx", "ty")
+    bounds = [f("t" + a).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    cells_ = stage(each.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), *bounds), "quadtree-cells").df
+    full = cells_.where(F.col("n") > LEAF).select((F.col("level") + 1).alias("level"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+    parent = [F.shiftright(c, STEP).alias(p) for c, p in (("cx", "_px"), ("cy", "_py"))]
+    nodes = cells_.select("*", *parent)
+    nodes = nodes.where("level = 0").unionByName(nodes.join(full, ["level", "_px", "_py"], "left_semi"))
+    leaf = (F.col("n") <= LEAF) | (F.col("level") == rounds)
+    nodes = stage(nodes.withColumn("leaf", leaf), "quadtree").df
+    held = each.join(nodes.where("leaf").select("level", "cx", "cy"), ["level", "cx", "cy"], "left_semi")
+    return nodes, stage(held, "quadtree-leaves").df
+
+
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target) for every point (id, x, y): the nearest of ``targets`` (target, x, y), the least target among equals
+    (distances are equal when they are so in single precision).
+
+    A search down an adaptive quadtree. All points start at the root; in a round every (point, node) pair is replaced by the
+    node's children, and a pair stays only if the nearest place of its box is no farther than the farthest place of the
+    point's best box. Boxes are drawn around the targets of a cell, so a dense cluster is one box until a point is close to it,
+    and a point keeps a few nodes a round, however the targets lie. The leaves that stay are compared target by target.
+    A point without coordinates, or one where there are no targets, gets none. Each round writes what is left.
     """
-    targets = stage(targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty")), "targets")
-    left = stage(points.select("id", "x", "y"), "points")
-    box = left.df.select("x", "y").unionByName(targets.df.select(F.col("tx").alias("x"), F.col("ty").alias("y")))
-    span = box.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    done = left.df.select("id", F.lit(None).cast(targets.df.schema["target"].dataType).alias("target")).limit(0)
-    if not left.rows or not targets.rows:
-        return done
-    side = max(*span, 1e-9) / (2 * max(1.0, targets.rows**0.5))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    while left.rows:
-        wide = targets.df.withColumn("_n", F.explode(around)).select(
-            "target", "tx", "ty", (F.floor(F.col("tx") / side) + F.col("_n.i")).alias("_cx"), (F.floor(F.col("ty") / side) + F.col("_n.j")).alias("_cy")
-        )
-        at = left.df.withColumns({"_cx": F.floor(F.col("x") / side), "_cy": F.floor(F.col("y") / side)})
-        dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
-        found = at.join(wide, ["_cx", "_cy"]).groupBy("id").agg(
-            F.min(F.struct((dx * dx + dy * dy).cast("float").alias("d"), "target")).alias("best")
-        )
-        found = found.where(F.col("best.d") <= (side * side) * (1 - 1e-5)).select("id", F.col("best.target").alias("target"))
-        found = stage(found, "nearest").df
-        done = done.unionByName(found)
-        left = stage(left.df.join(found, "id", "left_anti"), "points")
-        side *= 2
-    return done
+    kind = targets.schema["target"].dataType
+    numbers = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    # of several targets on one spot the least can be the nearest
+    spots = targets.where(numbers).groupBy(F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("target").alias("target"))
+    spots = stage(spots, "targets")
+    left = stage(points.where(numbers).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
+    if not left.rows or not spots.rows:
+        return left.df.select("id", F.lit(None).cast(kind).alias("target")).limit(0)
+    x0, y0, x1, y1 = spots.df.agg(F.min("tx"), F.min("ty"), F.max("tx"), F.max("ty")).first()
+    nodes, leaves = quadtree(spots.df, (x0, y0, max(x1 - x0, y1 - y0) * (1 + 1e-9) or 1.0))
+
+    def apart(c, far):
+        low, high = F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}")
+        d = F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(low, high, F.lit(0.0))
+        return d * d
+
+    def pruned(pairs):
+        """Pairs that may hold the nearest target; the margin keeps what single precision calls equal."""
+        best = F.min(apart("x", True) + apart("y", True)).over(Window.partitionBy("id"))
+        near = apart("x", False) + apart("y", False)
+        pairs = pairs.withColumns({"_best": best, "_near": near}).where(F.col("_near") <= F.col("_best") * (1 + 1e-6))
+        return pairs.drop("_best", "_near")
+
+    node = ["level", "cx", "cy", "leaf", "lox", "hix", "loy", "hiy"]
+    root = nodes.where("level = 0").select(*node)
+    at = stage(left.df.crossJoin(F.broadcast(root)), "search", inner=~F.col("leaf"))  # one row
+    while at.counts["inner"]:
+        down = at.df.where("NOT leaf").select("id", "x", "y", (F.col("level") + 1).alias("level"), F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+        below = down.join(nodes.select("_px", "_py", *node), ["level", "_px", "_py"]).select("id", "x", "y", *node)
+        at = stage(pruned(at.df.where("leaf").unionByName(below)), "search", inner=~F.col("leaf"))
+    met = at.df.select("id", "x", "y", "level", "cx", "cy").join(leaves, ["level", "cx", "cy"])
+    dx, dy = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
+    found = met.groupBy("id").agg(F.min(F.struct((dx * dx + dy * dy).cast("float").alias("d"), "target")).alias("best"))
+    return found.select("id", F.col("best.target").alias("target"))
 
 
 def assign_nearest(clustered: DataFrame, kept: DataFrame, category: str) -> DataFrame:

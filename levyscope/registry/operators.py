@@ -109,8 +109,10 @@ def _(c):
 
 @entry("S9_write_feed", "SELECT * FROM class_year_triad", "av_board:2")
 def _(c):
-    path = sinks.write_feed(rolls.class_year_triad_summary(c.inputs), "class_year_triad", stage_path(c.spark, "feeds"))
-    return readers.read_table(c.spark, path)
+    out, name = stage_path(c.spark, "feeds"), "class_year_triad"
+    sinks.write_feed(c.inputs.townships, name, out)  # an older version, which the next one replaces
+    sinks.write_feed(rolls.class_year_triad_summary(c.inputs), name, out)
+    return sinks.read_feed(c.spark, f"{out}/{name}")
 
 
 # -- projections, filters, predicates
@@ -428,6 +430,22 @@ entry("A15_ols_interval", interval_sql(FIT_SQL, "class", False), "intercept:5 es
 entry("A15_ols_interval_pooled", interval_sql(FIT_SQL, "class", True), "intercept:5 est:5 lower:5 upper:5")(
     lambda c: ratios.ols_interval(class_terms(c), "prb_pct_diff", "prb_ln_value", ["class"], pool=True)
 )
+# groups of exactly three sales: one degree of freedom each, where the t quantile is farthest from the normal one
+FEW_SQL = """(SELECT class, few, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS est, regr_sxx(y, x) AS sxx,
+  greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x), 0) AS rss, count(*) AS n
+  FROM (SELECT class, few, (av_ratio_mailed - med) / med AS y, log2(0.5::DOUBLE * (av_mailed / med) + 0.5::DOUBLE * sale_price) AS x
+    FROM (SELECT *, median(av_ratio_mailed) OVER (PARTITION BY class, few) AS med FROM (SELECT *, sale_key % 331 AS few FROM base)))
+  GROUP BY class, few HAVING count(*) = 3)"""
+
+
+@entry("A15_three_sales", interval_sql(FEW_SQL, "class, few", False), "intercept:3 est:3 lower:3 upper:3")
+def _(c):
+    df, rows = ratio_rows(c)
+    by = ["class", "few"]
+    terms = ratios.prb_terms(df.withColumn("few", F.col("sale_key") % 331), "av_ratio_mailed", "av_mailed", "sale_price", by, rows)
+    return ratios.ols_interval(terms, "prb_pct_diff", "prb_ln_value", by, pool=False).where("n = 3")
+
+
 entry(
     "A16_pivot_wide",
     "SELECT year, "
@@ -798,14 +816,15 @@ entry("G1_points_from_lonlat", "SELECT pin10, longitude AS x, latitude AS y FROM
 )
 entry(
     "G2_point_in_polygon",
-    f"""SELECT p.pin10, p.x, p.y, count(*) FILTER ({WITHIN}) % 2 = 1 AS in_notched
-        FROM (SELECT pin10, longitude AS x, latitude AS y FROM pin_points) p, (SELECT * FROM edges WHERE geoid = '112')
-        GROUP BY p.pin10, p.x, p.y""",
+    f"""SELECT p.pin10, p.x, p.y, geoid, count(*) FILTER ({WITHIN}) % 2 = 1 AS within
+        FROM (SELECT pin10, longitude AS x, latitude AS y FROM pin_points) p, edges
+        GROUP BY p.pin10, p.x, p.y, geoid
+        HAVING p.x BETWEEN min(least(ax, bx)) AND max(greatest(ax, bx)) AND p.y BETWEEN min(least(ay, by_)) AND max(greatest(ay, by_))""",
     "x:6 y:6",
 )(
-    lambda c: spatial.points_from_lonlat(c.inputs.pin_points)
-    .crossJoin(F.broadcast(c.inputs.block_groups.where("geoid = '112'").select("ring")))  # one polygon
-    .select("pin10", "x", "y", spatial.inside(F.col("x"), F.col("y"), F.col("ring")).alias("in_notched"))
+    lambda c: spatial.box_tests(
+        spatial.points_from_lonlat(c.inputs.pin_points), c.inputs.block_groups.select("geoid", "ring"), CELL
+    )
 )
 entry("G3_drop_geometry", "SELECT geoid, category, n FROM tiles")(lambda c: spatial.drop_geometry(c.tiles()))
 entry("G4_pin_to_area", "SELECT pin10, geoid FROM pin_area")(

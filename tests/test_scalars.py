@@ -78,10 +78,48 @@ def test_squish_and_membership(spark):
     assert [r[0] for r in values(spark, "v string", rows, fn.in_set(F.col("v"), ["a"]))] == [True, False, False]
 
 
-@pytest.mark.parametrize("free, table", [(30, 2.749996), (100, 2.625891), (1000, 2.580755)])
-def test_t_quantile_against_tables(spark, free, table):
-    got = spark.range(1).select(fn.t_quantile(0.995, F.lit(float(free)))).first()[0]
-    assert got == pytest.approx(table, abs=5e-5)
+# quantiles at .95, .975 and .995 from printed tables of ten digits
+T_TABLE = {
+    1: (6.313751515, 12.70620474, 63.65674116),
+    2: (2.919985580, 4.302652730, 9.924843201),
+    3: (2.353363435, 3.182446305, 5.840909310),
+    4: (2.131846786, 2.776445105, 4.604094871),
+    5: (2.015048373, 2.570581836, 4.032142984),
+    10: (1.812461123, 2.228138852, 3.169272673),
+    30: (1.697260887, 2.042272456, 2.749995654),
+    100: (1.660234326, 1.983971519, 2.625890521),
+    1_000_000: (1.644855150, 1.959966359, 2.575834),
+}
+
+
+def test_t_quantile_against_tables(spark):
+    df = spark.createDataFrame([(n,) for n in T_TABLE], "n long")
+    cols = [fn.t_quantile(p, F.col("n")) for p in (0.95, 0.975, 0.995)]
+    for n, *got in df.select("n", *cols).collect():
+        assert got == pytest.approx(T_TABLE[n], abs=1e-6), n
+
+
+def test_t_quantile_is_the_inverse_of_the_tail(spark):
+    """For all whole degrees of freedom to 30, around the change of method, broken ones, and both sides of one half."""
+    frees = [*map(float, range(1, 31)), 0.3, 1.5, 2.5, 17.25, 99.0, 199.0, 199.5, 200.0, 250.0]
+    df = spark.createDataFrame([(n,) for n in frees], "n double")
+    levels = (0.55, 0.75, 0.9, 0.95, 0.975, 0.995, 0.9995)
+    found = df.select("n", *[fn.t_quantile(p, F.col("n")).alias(f"t{k}") for k, p in enumerate(levels)]).collect()
+    found = spark.createDataFrame(found)
+    for n, *got in found.select("n", *[fn.t_tail(F.col(f"t{k}"), F.col("n")) for k in range(len(levels))]).collect():
+        assert got == pytest.approx([1 - p for p in levels], rel=1e-8), n
+    low, mid = df.select(fn.t_quantile(0.025, F.col("n")) + fn.t_quantile(0.975, F.col("n")), fn.t_quantile(0.5, F.col("n"))).first()
+    assert low == 0 and mid == 0
+    odd = spark.createDataFrame([(0.0,), (-1.0,), (None,)], "n double")
+    assert [r[0] for r in odd.select(fn.t_quantile(0.975, F.col("n"))).collect()] == [None] * 3
+
+
+def test_the_list_for_the_oracle_agrees(spark):
+    from levyscope.registry.pipelines import t995
+
+    want = t995()
+    df = spark.range(1, len(want) + 1).select("id", fn.t_quantile(0.995, F.col("id")).alias("t"))
+    assert [r.t for r in df.orderBy("id").collect()] == pytest.approx(want, rel=1e-9)
 
 
 def one(spark, column, *values, kind="double"):
