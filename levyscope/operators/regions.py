@@ -57,7 +57,7 @@ def _near_corners(edges: DataFrame, usual: float) -> DataFrame:
         return F.explode(cells(F.least(*ends) - 2, F.greatest(*ends) + 2, F.col("_level"))).alias(axis)
 
     piece = piece.select("*", reach("ax", dx, "_cx")).select("*", reach("ay", dy, "_cy")).drop("_i", "_n").distinct()
-    corners = edges.select(F.col("ax").alias("vx"), F.col("ay").alias("vy")).distinct()  # a ring starts an edge at every corner
+    corners = edges.select(F.inline(F.array(*[F.struct(F.col(f"{e}x").alias("vx"), F.col(f"{e}y").alias("vy")) for e in "ab"]))).distinct()
     placed = corners.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
     cell = F.pow(F.lit(2.0), F.col("_level"))
     placed = placed.withColumns({"_cx": F.floor(F.col("vx") / cell), "_cy": F.floor(F.col("vy") / cell)})
@@ -65,7 +65,8 @@ def _near_corners(edges: DataFrame, usual: float) -> DataFrame:
     # differences of lattice points are exact in doubles, and so far smaller than 2^53 that a product errs by a small part of a step
     ex, ey = dx.cast("double"), dy.cast("double")
     wx, wy = (F.col("vx") - F.col("ax")).cast("double"), (F.col("vy") - F.col("ay")).cast("double")
-    beside = F.abs(ex * wy - ey * wx) <= F.hypot(ex, ey)  # at most one step from the line
+    # snapping moves the corner and the line by up to half a diagonal of the lattice each
+    beside = F.abs(ex * wy - ey * wx) <= 1.5 * F.hypot(ex, ey)
     along = ex * wx + ey * wy
     inside = (along > 0) & (along < ex * ex + ey * ey)
     own = ((F.col("vx") == F.col("ax")) & (F.col("vy") == F.col("ay"))) | ((F.col("vx") == F.col("bx")) & (F.col("vy") == F.col("by")))

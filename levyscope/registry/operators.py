@@ -836,13 +836,20 @@ entry("G4_pin_to_area", "SELECT pin10, geoid FROM pin_area")(
 entry("D1_shared_edges", "SELECT a, b, category, category_b FROM links", regions=True)(
     lambda c: regions.shared_edges(c.tiles(), ["category"])
 )
-entry(
-    "D1_parts_of_edges",
-    """SELECT * FROM (WITH e AS (SELECT geoid, least(ax, bx) AS x0, greatest(ax, bx) AS x1, least(ay, by_) AS y0, greatest(ay, by_) AS y1 FROM edges)
+PARTS_SQL = """SELECT * FROM (WITH e AS (SELECT geoid, least(ax, bx) AS x0, greatest(ax, bx) AS x1, least(ay, by_) AS y0, greatest(ay, by_) AS y1 FROM edges)
        SELECT DISTINCT p.geoid AS a, q.geoid AS b FROM e p JOIN e q ON p.geoid < q.geoid AND (
          (p.x1 - p.x0 < 1e-9 AND q.x1 - q.x0 < 1e-9 AND abs(p.x0 - q.x0) < 1e-9 AND least(p.y1, q.y1) - greatest(p.y0, q.y0) > 1e-9)
-         OR (p.y1 - p.y0 < 1e-9 AND q.y1 - q.y0 < 1e-9 AND abs(p.y0 - q.y0) < 1e-9 AND least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9)))""",
-)(lambda c: regions.shared_edges(c.inputs.block_groups))
+         OR (p.y1 - p.y0 < 1e-9 AND q.y1 - q.y0 < 1e-9 AND abs(p.y0 - q.y0) < 1e-9 AND least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9)))"""
+entry("D1_parts_of_edges", PARTS_SQL)(lambda c: regions.shared_edges(c.inputs.block_groups))
+
+
+def moved(layer, dx: float, dy: float):
+    """The layer (geoid, ring) at another place."""
+    there = F.transform("ring", lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+    return layer.select("geoid", there.alias("ring"))
+
+
+entry("D1_at_real_coordinates", "SELECT a, b FROM links", regions=True)(lambda c: regions.shared_edges(moved(c.tiles(), -87.0, 42.0)))
 entry("D2_dissolve_components", "SELECT geoid, category, cluster_id FROM clustered", regions=True)(
     lambda c: regions.dissolve(c.tiles(), "category").select("geoid", "category", "cluster_id")
 )

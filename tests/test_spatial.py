@@ -1,5 +1,6 @@
 """Point in area, shared edges, connected groups."""
 
+import math
 import random
 
 import pytest
@@ -91,3 +92,59 @@ def test_dissolve_keep_and_assign(spark):
     assert {r.cluster_id for r in kept.collect()} == {"a0", "b0", "c", "c2"}  # c3 is third of its category and under 1%
     out = {r.geoid: (r.cluster_id, r.category) for r in regions.assign_nearest(grouped, kept, "category").collect()}
     assert out["a7"] == ("a0", "A") and out["c"] == ("c", "C") and out["c3"] == ("c2", "C")
+
+
+def fringed(corners, radius=1.0):
+    """A ring of many corners around the origin, every second one drawn in a little."""
+    turn = [2 * math.pi * i / corners for i in range(corners)]
+    ring = [(radius * (1 - 0.001 * (i % 2)) * math.cos(a), radius * (1 - 0.001 * (i % 2)) * math.sin(a)) for i, a in enumerate(turn)]
+    return ring + ring[:1]
+
+
+def winding(x, y, ring):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        if (y1 > y) != (y2 > y) and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1):
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("form", ["small", "large"])
+def test_an_area_of_many_corners_with_most_points(spark, request, form):
+    """50,000 corners; nine points of ten in the one area; slabs stay short, repetitions few, and no ring travels."""
+    if form == "large":
+        request.getfixturevalue("distributed")
+    ring = fringed(50_000)
+    layer = spark.createDataFrame([("big", "x", ring), ("one", "y", square(1.0, 1.0)), ("two", "z", square(-3.0, 0.0, 0.5))], f"geoid string, kind string, ring {RING}")
+    held = spatial.slabbed(layer)
+    slabs = spatial.slab_edges(held).select("geoid", F.size("_edges").alias("n"))
+    most, total = slabs.where("geoid = 'big'").agg(F.max("n"), F.sum("n")).first()
+    assert most < 1000 and total < 2 * 50_000
+    rnd = random.Random(5)
+    points = [(i, rnd.uniform(-0.99, 0.99), rnd.uniform(-0.6, 0.6)) for i in range(900)]
+    points += [(1000 + i, 0.9995 * math.cos(i), 0.9995 * math.sin(i)) for i in range(100)] + [(2000, 1.5, 1.5), (2001, -2.75, 0.25), (2002, 9.0, 9.0), (2003, None, 0.0)]
+    pts = spark.createDataFrame(points, "id int, x double, y double")
+    out = spatial.join_within(pts, layer, 1.0)
+    assert out.columns == ["id", "x", "y", "geoid", "kind"]
+    got = {(r.id, r.geoid) for r in out.collect()}
+    near = [(k, x, y) for k, x, y in points[:1000]]
+    want = {(k, "big") for k, x, y in near if math.hypot(x, y) < 0.9985 or math.hypot(x, y) < 1 and winding(x, y, ring)}
+    assert got == want | {(2000, "one"), (2001, "two")}
+    assert 800 < len(want) < 1000
+
+
+def test_no_ring_in_the_exchanges_of_the_join(spark, distributed):
+    from tests.test_plans import plan
+
+    layer = spark.createDataFrame([("a", square(0.0, 0.0)), ("b", square(1.0, 0.0))], f"geoid string, ring {RING}")
+    pts = spark.createDataFrame([(1, 0.5, 0.5)], "id int, x double, y double")
+    text = plan(spatial.join_within(pts, layer, 1.0))
+    assert "SortMergeJoin" in text
+    assert not any("ring#" in line for line in text.splitlines() if "Exchange" in line or "Join" in line)
+
+
+def test_within_is_told_for_every_box(spark):
+    layer = spark.createDataFrame([("l", L_SHAPE), ("q", square(0.0, 0.0, 2.0))], f"geoid string, ring {RING}")
+    pts = spark.createDataFrame([(0.5, 0.5), (1.5, 1.5), (0.0, 1.0), (5.0, 5.0)], "x double, y double")
+    got = {(r.x, r.y, r.geoid): r.within for r in spatial.box_tests(pts, layer, 1.0).collect()}
+    assert got == {(0.5, 0.5, "l"): True, (0.5, 0.5, "q"): True, (1.5, 1.5, "l"): False, (1.5, 1.5, "q"): True, (0.0, 1.0, "l"): False, (0.0, 1.0, "q"): False}
