@@ -34,8 +34,8 @@ from levyscope.scale import stage
 PART_MASS = 4_000_000
 MOST_BITS = 1 << 29
 #: Words that a task holds before it hands on counts: hashes in the first pass, phrases in the second.
-HASH_WORDS = 1_000_000
-PHRASE_WORDS = 3_000_000
+HASH_WORDS = 500_000
+PHRASE_WORDS = 750_000
 KEY = 32
 MARK = b"\xff"  # in no UTF-8 text; stands for the end of a piece
 
@@ -79,10 +79,10 @@ class Buffer:
 
     def add(self, text: str, lang: str) -> None:
         cut = text.encode("utf-8", "surrogatepass").translate(TABLE).replace(MARK, b" \xff ").split(b" ")
-        ids = np.fromiter(map(self.words.__getitem__, filter(None, cut)), np.int64)
-        ids = np.append(ids, 0)
+        ids = np.fromiter(map(self.words.__getitem__, filter(None, cut)), np.int32)
+        ids = np.append(ids, np.int32(0))
         self.held.append(ids)
-        self.lang.append(np.full(len(ids), self.langs.setdefault(lang, len(self.langs)), np.int64))
+        self.lang.append(np.full(len(ids), self.langs.setdefault(lang, len(self.langs)), np.int32))
         self.n += len(ids)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,8 @@ def frequent_filter(base: DataFrame, threshold: int, longest: int) -> tuple[byte
     # a bound of the phrases would be half the characters times the lengths; a fifth is near
     mass = max(1, chars * longest // 5)
     n_bits = max(0, (mass // PART_MASS)).bit_length()  # of the partition
-    filter_bits = max(n_bits + 3, min(MOST_BITS.bit_length() - 1, max(16 + n_bits, mass.bit_length())))  # whole bytes in a segment
+    # at most mass / threshold bits are set; segments are whole bytes
+    filter_bits = max(n_bits + 3, min(MOST_BITS.bit_length() - 1, max(16 + n_bits, (mass // 4).bit_length())))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in batches_of(batches, HASH_WORDS):
@@ -216,16 +217,15 @@ def exact_counts(base: DataFrame, threshold: int, longest: int) -> DataFrame:
             shown = lambda at, m: [b" ".join(map(words.__getitem__, p)) for p in ids[at[:, None] + np.arange(m)].tolist()]  # noqa: E731, B023
             everywhere = np.bincount(lang[ids > 0], minlength=len(langs))
             yield table_of([langs[i] for i in range(len(langs))], [None] * len(langs), 0, everywhere)
-            number = np.full(len(ids), -1, np.int64)  # of the phrase of the last length that starts here, exactly
+            number = np.full(len(ids), -1, np.int32)  # of the phrase of the last length that starts here, exactly
             for m, (at, h) in enumerate(phrase_hashes(ids, lang, buffer, longest), 1):
                 at = at[passes(h, held)]
-                if m == 1:
-                    key = lang[at] * len(words) + ids[at]
-                else:
+                if m > 1:
                     at = at[number[at] >= 0]
-                    key = number[at] * len(words) + ids[at + m - 1]
-                _, first, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                number = np.full(len(ids), -1, np.int64)
+                upper = (lang if m == 1 else number)[at].astype(np.int64)
+                _, first, place, n = np.unique(upper * len(words) + ids[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
+                del upper
+                number.fill(-1)
                 number[at] = place
                 for k in range(0, len(first), 100_000):
                     some = at[first[k : k + 100_000]]
