@@ -2,8 +2,8 @@
 
 Two rules hold everywhere in the package:
 
-* a table is broadcast, or a group handled inside one task, only when its row count has been measured and is at most
-  ``SMALL_ROWS``; otherwise an equally exact distributed form is used;
+* a table is broadcast, or a group handled inside one task, only when its row count has been measured, is at most
+  ``SMALL_ROWS``, and its rows come to at most ``SMALL_BYTES``; otherwise an equally exact distributed form is used;
 * a result that several branches read is written once as a parquet table below ``spark.checkpoint.dir`` and read back, so
   it is not recomputed, survives the loss of executors, and shows Catalyst its real size.
 """
@@ -20,14 +20,15 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 1_000_000
+SMALL_BYTES = 128 << 20
 SALTS = 64
 
 _local_root: dict[str, str] = {}
 
 
-def is_small(rows: int | None) -> bool:
-    """True only for a measured row count within the limit."""
-    return rows is not None and rows <= SMALL_ROWS
+def is_small(rows: int | None, width: int = 100) -> bool:
+    """True only for a measured row count within the limit, also if each row takes ``width`` bytes."""
+    return rows is not None and rows <= SMALL_ROWS and rows * width <= SMALL_BYTES
 
 
 @dataclass(frozen=True)
@@ -122,18 +123,21 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind])
 
 
-def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
+def attach_groups(df: DataFrame, stats: DataFrame, by: list[str], rows: int | None = None, width: int = 100) -> DataFrame:
     """Join one-row-per-group ``stats`` back to the rows of ``df``.
 
-    ``rows`` is a measured count that bounds the rows of ``stats``. Without one (or above ``SMALL_ROWS``) the table is
-    written and counted: a counted small table is broadcast, a large one is joined on group and salt, so that a group
-    holding a large part of the rows is spread over ``SALTS`` tasks.
+    ``rows`` is a measured count that bounds the rows of ``stats``, ``width`` bounds the bytes of one of them. Without a count
+    (or above the limits) the table is written and counted: a counted small table is broadcast, a large one is joined on group
+    and salt, so that a group holding a large part of the rows is spread over ``SALTS`` tasks. Wide rows are not copied for
+    every salt: written tables on both sides are joined as they are, and adaptive execution splits a hot group.
     """
-    if is_small(rows):
+    if is_small(rows, width):
         return join_null_safe(df, stats, by, small=True)
     counted = stage(stats, "groups")
-    if counted.small:
+    if is_small(counted.rows, width):
         return join_null_safe(df, counted.df, by, small=True)
+    if width > 1000:
+        return join_null_safe(df, counted.df, by)
     salted = df.withColumn("__salt", F.pmod(row_hash(df), F.lit(SALTS)).cast("int"))
     copies = counted.df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return join_null_safe(salted, copies, [*by, "__salt"]).drop("__salt")

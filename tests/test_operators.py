@@ -252,3 +252,43 @@ def test_salts_and_ties_do_not_depend_on_the_order_of_rows(spark):
     b = spark.createDataFrame(rows[::-1], "id int, v double").repartition(3)
     hashes = [dict(map(tuple, d.select("id", row_hash(d)).collect())) for d in (a, b)]
     assert hashes[0] == hashes[1] and len(set(hashes[0].values())) == 500
+
+
+def test_order_statistics_of_awkward_values(spark, distributed):
+    """Outliers, ties, infinite values, tiny and huge spans, one row, missing group keys; few rounds, and no sort of the values."""
+    import numpy as np
+
+    inf = float("inf")
+    rnd = random.Random(11)
+    groups = {
+        "skewed": [rnd.lognormvariate(0, 4) for _ in range(3000)] + [1e300, -1e300],
+        "ties": [float(rnd.randint(1, 3)) for _ in range(500)],
+        "one": [4.5],
+        "odd": [inf, -inf, 0.0, -0.0, 1.0, inf],
+        "tiny": [1.0 + i * 2.0**-52 for i in range(200)] + [5e-324, 0.0],
+        "wide": [-1.7e308, 1.7e308, 3.0, 4.0],
+        None: [float(i) for i in range(10)],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))], "g string, v double")
+    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p0": 0.0, "p100": 1.0}
+    rounds, plain = [], outliers.stage
+
+    def counted(frame, label="stage", **counts):
+        rounds.append((label, frame._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(frame, label, **counts)
+
+    outliers.stage = counted
+    try:
+        got = {r.g: r for r in outliers.group_quantiles(df, "v", ["g"], probs).collect()}
+    finally:
+        outliers.stage = plain
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for name, p in probs.items():
+            at = (len(vs) - 1) * p
+            lo, hi, share = vs[int(np.floor(at))], vs[int(np.ceil(at))], at - np.floor(at)
+            want = lo if lo == hi else (1 - share) * lo + share * hi
+            assert got[g][name] == want or (np.isnan(want) and np.isnan(got[g][name])), (g, name)
+    assert sum(label == "brackets" for label, _ in rounds) < 16
+    assert not any("RepartitionByExpression" in text or "Sort [" in text for _, text in rounds)
