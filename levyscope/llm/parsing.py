@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.llm.common import rows, texts
@@ -163,11 +163,15 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
     return np.where(same, 1.0, equal / np.maximum(filled, 1))
 
 
-def shown(root: np.ndarray, sketch: np.ndarray) -> list[str]:
-    """Fingerprints as hexadecimal digits: the last name, then the bins."""
-    names = root.astype(">u8").tobytes().hex()
-    bins = sketch.astype(">u2").tobytes().hex()
-    return [names[16 * i : 16 * i + 16] + bins[4 * BINS * i : 4 * BINS * (i + 1)] for i in range(len(root))]
+def packed(root: np.ndarray, sketch: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes: the last name, then the bins."""
+    names, bins = root.astype(">u8").tobytes(), sketch.astype(">u2").tobytes()
+    return [names[8 * i : 8 * i + 8] + bins[2 * BINS * i : 2 * BINS * (i + 1)] for i in range(len(root))]
+
+
+def digits(name: str) -> Column:
+    """Bytes as hexadecimal digits; tables that are written on the way hold bytes."""
+    return F.lower(F.hex(name)).alias(name)
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -177,14 +181,15 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             held = batch.column("text").to_pylist()
-            columns = [pa.array(map(len, held), pa.int64()), pa.array(shown(*parsed(held)), pa.string())]
+            columns = [pa.array(map(len, held), pa.int64()), pa.array(packed(*parsed(held)), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_chars", "fingerprint"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
+    found = texts(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint binary")
+    return found.select("doc_id", "n_chars", digits("fingerprint"))
 
 
 RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-RESULT_DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT_DDL = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def compared(texts_: list[str]) -> list[list]:
@@ -195,11 +200,11 @@ def compared(texts_: list[str]) -> list[list]:
         half = len(text) // 2
         edited.append(text[: len(text) - half] + following[:half])
     root, sketch = parsed(texts_ + edited)
-    marks = shown(root, sketch)
+    marks = packed(root, sketch)
     mine, others, changed = slice(0, n), slice(1, n + 1), slice(n + 1, None)
     return [
         [len(t) for t in texts_[:n]],
-        [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
+        [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited],
         marks[mine],
         marks[changed],
         likeness(sketch[mine], sketch[changed], root[mine] == root[changed]).tolist(),
@@ -220,7 +225,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     names = [*RESULT, "part", "edge", "text"]
 
     def batch_of(ids: pa.Array, columns: list[list], part: int, edge: str | None, text: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         n = len(ids)
         made = [pa.array(c, k) for c, k in zip(columns or [[None] * n] * 6, kinds)]
         return pa.RecordBatch.from_arrays(
@@ -259,5 +264,5 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                 out = batch_of(batch.column("doc_id").slice(i, 1), compared(held), 0, None, [None])
                 yield out.select(RESULT)
 
-    done = walked.where(F.col("edge").isNull()).select(*RESULT)
-    return done.unionByName(pairs.mapInArrow(finish, ddl))
+    every = walked.where(F.col("edge").isNull()).select(*RESULT).unionByName(pairs.mapInArrow(finish, ddl))
+    return every.select("doc_id", "n_chars", *[digits(c) for c in RESULT[2:5]], *RESULT[5:])

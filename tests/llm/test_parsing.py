@@ -98,7 +98,7 @@ def test_equals_plain_python(spark, monkeypatch, chunk):
     monkeypatch.setattr(parsing, "CHUNK", chunk)
     docs = corpus()
     found = parsing.parsed([t or "" for _, t in docs])
-    assert parsing.shown(*found) == [fingerprint(t or "") for _, t in docs]
+    assert [f.hex() for f in parsing.packed(*found)] == [fingerprint(t or "") for _, t in docs]
 
 
 def test_edited_texts_over_many_partitions(spark):
