@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from levyscope.functions.scalars import above, below, is_number
-from levyscope.scale import attach_groups, is_small, join_null_safe, stage
+from levyscope.operators.rank import order_statistics
+from levyscope.scale import attach_groups, is_small
 
 
 def group_quantiles(
@@ -36,56 +37,6 @@ def group_quantiles(
     return found.select(*by, *[between(i, name) for i, name in enumerate(probs)])
 
 
-#: Bins that a bracket is divided into in one round.
-BINS = 1024
-MOST = 1.7976931348623157e308
-
-
-def order_statistics(valid: DataFrame, value: str, by: list[str], places: list) -> DataFrame:
-    """The values of ``valid`` at 0-based ``places`` (expressions of ``_n``, the size of the group) within their group, as columns
-    ``__o0``, ``__o1``, ... beside ``_n``. Values must be numbers; infinite ones are taken as the greatest and least doubles.
-
-    Selection by refinement: every wanted place has a bracket of values that holds it, at first the whole group. A round counts
-    the values of every bracket in ``BINS`` bins (with the least and greatest value of each, by partial aggregates), and the bin
-    that holds the place is the next bracket, until it holds one value only. Nothing is sorted, and no value but the ends of
-    bins leaves a map task, so it does not matter how the values are spread or how large a group is. A bin is a
-    function of the value that never falls, so rounding cannot misplace a value. Three or four rounds settle a billion values.
-    """
-    x = F.least(F.greatest(F.col(value).cast("double"), F.lit(-MOST)), F.lit(MOST))
-    base = stage(valid.select(*by, x.alias("_x")), "values").df  # read in every round
-    whole = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    slots = F.array(*[F.struct(F.lit(i).alias("_i"), p.cast("long").alias("_k")) for i, p in enumerate(places)])
-    key = [*by, "_n", "_i", "_k", "_lo", "_hi"]
-    want = stage(whole.select(*by, "_n", "_lo", "_hi", F.inline(slots)).select(key), "brackets", open=F.col("_lo") < F.col("_hi"))
-    while want.counts["open"]:
-        left = want.df.where("_lo < _hi")
-        # of one group brackets are equal or apart, so a value is in one of them at most
-        brackets = left.groupBy(*by).agg(F.collect_set(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).alias("_b"))
-        held = attach_groups(base, brackets, by, width=16 * len(places) + 100)
-        hit = F.get(F.filter("_b", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"])), F.lit(0))
-        held = held.select(*by, "_x", hit.alias("_hit")).where("_hit IS NOT NULL").select(*by, "_x", "_hit.lo", "_hit.hi")
-        span = F.col("hi") - F.col("lo")
-        far = span > MOST  # the difference of two doubles may pass all of them
-        share = F.when(far, (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise((F.col("_x") - F.col("lo")) / span)
-        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-        bins = held.groupBy(*by, F.col("lo").alias("_lo"), bin_.alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")
-        )
-        upto = F.sum("_c").over(Window.partitionBy(*by, "_lo").orderBy("_bin"))  # at most BINS rows in a partition
-        bins = bins.withColumn("_upto", upto)
-        met = join_null_safe(left.drop("_hi"), bins, [*by, "_lo"], "inner")
-        met = met.where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
-        nearer = met.select(
-            *by, "_n", "_i", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi")
-        )
-        want = stage(want.df.where("_lo >= _hi").unionByName(nearer), "brackets", open=F.col("_lo") < F.col("_hi"))
-    v = F.col("_lo")
-    v = F.when(v == MOST, F.lit(float("inf"))).when(v == -MOST, F.lit(float("-inf"))).otherwise(v)
-    return want.df.groupBy(*by).agg(
-        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_i") == i, v)).alias(f"__o{i}") for i in range(len(places))]
-    )
-
-
 def group_median(df: DataFrame, value: str, by: list[str], name: str, rows: int | None = None) -> DataFrame:
     return group_quantiles(df, value, by, {name: 0.5}, rows)
 

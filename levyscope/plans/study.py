@@ -15,7 +15,7 @@ from levyscope.operators.shape import adjust, ordered_category, relabel, unpivot
 from levyscope.plans import labels
 from levyscope.plans.inputs import Inputs
 from levyscope.plans.rolls import FIRST_YEAR, roll, township_of, with_class, with_triad
-from levyscope.scale import Staged, settle, stage
+from levyscope.scale import Staged, is_small, settle, stage
 
 PIN_WIDTH = 14
 VALUES = ["tax_bill_total", "sale_price", "av_mailed", "av_certified", "av_board", "av_clerk"]
@@ -109,9 +109,11 @@ class Study:
         return zscore_by_group(self.grouped(trims), "sale_price_hpi", ["reporting_group"], rows=self.rows)
 
     def clean(self, trims: list[float] = NO_TRIMS) -> DataFrame:
-        """The sales all statistics use. Planned once per study: group statistics may have been written on the way."""
+        """The sales all statistics use. Planned once per study: group statistics may have been written on the way. If they are
+        many they are written once, for medians, tilings and trends alike: each of these reads them several times."""
         if tuple(trims) not in self._clean:
-            self._clean[tuple(trims)] = self._clean_plan(trims)
+            plan = self._clean_plan(trims)
+            self._clean[tuple(trims)] = plan if is_small(self.rows) else stage(plan, "clean").df
         return self._clean[tuple(trims)]
 
     def keep(self) -> Study:

@@ -271,17 +271,17 @@ def test_order_statistics_of_awkward_values(spark, distributed):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))], "g string, v double")
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p0": 0.0, "p100": 1.0}
-    rounds, plain = [], outliers.stage
+    rounds, plain = [], rank.stage
 
     def counted(frame, label="stage", **counts):
         rounds.append((label, frame._jdf.queryExecution().optimizedPlan().toString()))
         return plain(frame, label, **counts)
 
-    outliers.stage = counted
+    rank.stage = counted
     try:
         got = {r.g: r for r in outliers.group_quantiles(df, "v", ["g"], probs).collect()}
     finally:
-        outliers.stage = plain
+        rank.stage = plain
     assert set(got) == set(groups)
     for g, vs in groups.items():
         vs = sorted(vs)
@@ -292,3 +292,19 @@ def test_order_statistics_of_awkward_values(spark, distributed):
             assert got[g][name] == want or (np.isnan(want) and np.isnan(got[g][name])), (g, name)
     assert sum(label == "brackets" for label, _ in rounds) < 16
     assert not any("RepartitionByExpression" in text or "Sort [" in text for _, text in rounds)
+
+
+def test_tiles_that_start_in_the_midst_of_equal_values(spark, distributed):
+    """Few distinct values: most tiles start among equals, which the tie orders; groups smaller than the tiles; missing values."""
+    rnd = random.Random(3)
+    rows = [("a", float(rnd.randint(1, 4)), i) for i in range(1003)] + [("b", 1.0, 5000 + i) for i in range(7)]
+    rows += [(None, rnd.random(), 6000 + i) for i in range(57)] + [("a", None, 7000), ("a", float("nan"), 7001), ("c", float("inf"), 7002)]
+    df = spark.createDataFrame(rows, "g string, v double, t int")
+    for k in (1, 4, 100):
+        got = {r.t: r.tile for r in rank.ntile(df, "tile", k, ["g"], "v", "t").collect()}
+        assert len(got) == len(rows) and got[7000] is None and got[7001] is None and got[7002] == 1
+        for g in ("a", "b", None):
+            mine = sorted((v, t) for h, v, t in rows if h == g and v is not None and v == v)
+            q, r = divmod(len(mine), k)
+            want = [tile for tile in range(1, k + 1) for _ in range(q + (tile <= r))]
+            assert [got[t] for _, t in mine] == want, (k, g)
