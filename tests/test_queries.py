@@ -1,6 +1,7 @@
 """Registered queries against their SQL.
 
-By default the pipelines and a few operators run at sf0.001. ORACLE_ALL=1 runs every entry, ORACLE_SF picks the data.
+By default the pipelines and a few operators run at sf0.001, and some in the form meant for large data. ORACLE_ALL=1 runs every
+entry in both forms, ORACLE_SF picks the data.
 """
 
 import math
@@ -15,10 +16,13 @@ from levyscope.plans.study import Study
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 CHOSEN = [n for n in ENTRIES if n.startswith("Q")] + [
-    "S3_csv_to_parquet", "P12_rename_all_regex", "A6_null_profile", "A10_quantile_exact", "A15_ols_interval", "W5_quantile_trim_flags",
+    "S3_csv_to_parquet", "P12_rename_all_regex", "A6_null_profile", "A10_quantile_exact", "A15_ols_interval", "A15_three_sales", "W5_quantile_trim_flags",
     "W7_ntile", "C1_loess_by_group", "C2_stacked_bands", "J9_spatial_within", "D4_area_filter", "D5_assign_nearest",
 ]
-LARGE_FORM = ["Q8_outlier_flags", "Q12_price_index_trend", "Q18_cod_by_year", "Q19_prd_by_year", "Q20_prb_by_year", "Q25_area_ratios"]
+LARGE_FORM = [
+    "Q8_outlier_flags", "Q12_price_index_trend", "Q18_cod_by_year", "Q19_prd_by_year", "Q20_prb_by_year", "Q25_area_ratios",
+    "A10_quantile_exact", "A15_three_sales", "W7_ntile_quartile", "C1_loess_board", "G2_point_in_polygon", "D1_at_real_coordinates", "D5_assign_nearest",
+]
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +57,7 @@ def test_matches_sql(name, spark, sf_dir, duck):
     compare(name, spark, sf_dir, duck)
 
 
-@pytest.mark.parametrize("name", LARGE_FORM)
+@pytest.mark.parametrize("name", list(ENTRIES) if os.environ.get("ORACLE_ALL") else LARGE_FORM)
 def test_large_form_matches_sql(name, spark, sf_dir, duck, distributed):
     compare(name, spark, sf_dir, duck)
 
