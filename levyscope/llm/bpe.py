@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from levyscope.llm.common import rows, texts
+from levyscope.llm.common import release_memory, rows, texts
 from levyscope.scale import stage
 
 #: Fixed value: the word pattern of byte-level vocabularies.
@@ -40,8 +40,8 @@ OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 #: Letters and digits up to here have not changed between versions of Unicode; later ones are left to the library.
 PLAIN_END = "ɏ"
 LONG_PIECE = 4096
-#: Most pieces an encoder keeps (about 100 MB), and most a count of pieces holds before it is handed on.
-MEMO = 300_000
+#: Most pieces an encoder keeps (under 300 MB), and most a count of pieces holds before it is handed on.
+MEMO = 800_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -258,8 +258,8 @@ def spelled(piece: str) -> str:
 
 
 class Encoder:
-    """Encodes texts; keeps what it has seen, up to ``MEMO`` pieces, as packed ids. Beyond that, and between tasks, only the
-    pieces of the last batch stay, which hold nearly all common words."""
+    """Encodes texts; keeps what it has seen, up to ``MEMO`` pieces, as packed ids. Beyond that only the pieces of the last batch
+    stay, which hold nearly all common words."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = Vocabulary(path), lexicon
@@ -374,6 +374,12 @@ def shared_encoder(path: str, lexicon: bytes | None = None) -> Encoder:
     return _encoders[key]
 
 
+def forget_encoders() -> None:
+    """For tasks that come after all encoding: they run in the same processes."""
+    _encoders.clear()
+    release_memory()
+
+
 def frequent_pieces(docs: DataFrame, size: int) -> list[str]:
     """The most frequent pieces of all texts, counted over all of them: whole classes of counts, ``size`` pieces at most."""
 
@@ -435,7 +441,6 @@ def encode_decode(docs: DataFrame, path: str, lexicon_size: int = 50_000, with_i
                 out.append((len(ids), *digests, *((packed, text) if with_ids else ())))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names[: 1 + len(columns)])
-        encoder.trim()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
 def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``step`` rows and about four million characters, so that one slice of long texts
     stays small next to the memory of a task. A single longer row is a slice of its own."""
+    release_memory()  # of an earlier task in this worker
     for batch in batches:
         start = 0
         while start < batch.num_rows:
@@ -36,6 +38,15 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.Reco
             start += n
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and its executor has other work for it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: read many times, computed once, safe from lost executors."""
     return stage(df, label).df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levyscope.llm.bpe import shared_encoder
+from levyscope.llm.bpe import forget_encoders, shared_encoder
 from levyscope.llm.common import rows, texts
 from levyscope.scale import stage
 
@@ -50,7 +50,6 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: in
             columns = [batch.column("doc_id").take(pa.array(of)), *columns]
             more = [pa.array(ids, pa.binary())] if with_ids else []
             yield pa.RecordBatch.from_arrays([*columns, *more], names + ["ids"] * with_ids)
-        encoder.trim()
 
     ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return texts(docs).mapInArrow(run, ddl)
@@ -91,6 +90,7 @@ def pack_round(items: DataFrame, capacity: int) -> DataFrame:
     row carries the fill."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         held = [(b.column("uid").to_numpy(), b.column("length").to_numpy()) for b in batches if b.num_rows]
         if not held:
             return
