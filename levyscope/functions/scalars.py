@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from levyscope.functions.sums import exact_mean, exact_sum
+
 INF = float("inf")
 NAN = float("nan")
 
@@ -41,12 +43,12 @@ def _complete(c: Column) -> Column:
 
 
 def strict_sum(c: Column) -> Column:
-    """Sum that is NULL as soon as one input is NULL."""
-    return F.when(_complete(c), F.sum(c))
+    """Sum of doubles that is NULL as soon as one input is NULL."""
+    return F.when(_complete(c), exact_sum(c))
 
 
 def strict_mean(c: Column) -> Column:
-    return F.when(_complete(c), F.avg(c))
+    return F.when(_complete(c), exact_mean(c))
 
 
 def strict_sd(c: Column) -> Column:
@@ -55,7 +57,7 @@ def strict_sd(c: Column) -> Column:
 
 def weighted_mean(x: Column, w: Column) -> Column:
     """NULL as soon as a value or a weight is missing."""
-    return F.when(_complete(x * w), ieee_div(F.sum(x * w), F.sum(w)))
+    return F.when(_complete(x * w), ieee_div(exact_sum(x * w), exact_sum(w)))
 
 
 def nan_as_missing(c: Column) -> Column:
@@ -64,7 +66,7 @@ def nan_as_missing(c: Column) -> Column:
 
 def mean_of_numbers(c: Column) -> Column:
     """Mean that leaves out NULL and NaN."""
-    return F.avg(nan_as_missing(c))
+    return exact_mean(nan_as_missing(c))
 
 
 def pad_left(c: Column, width: int, fill: str = "0") -> Column:

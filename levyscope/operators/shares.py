@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levyscope.functions.scalars import ieee_div, strict_sum
+from levyscope.functions.scalars import ieee_div
+from levyscope.functions.sums import sum_of
 from levyscope.scale import attach_groups
 
 
 def sum_by(df: DataFrame, keys: list[str], cols: list[str], strict: bool = True) -> DataFrame:
-    """Sums of several columns in one partially aggregated pass."""
-    total = strict_sum if strict else F.sum
-    return df.groupBy(*keys).agg(*[total(F.col(c)).alias(c) for c in cols])
+    """Sums of several columns in one partially aggregated pass; ``strict`` ones are NULL as soon as one input is."""
+    return df.groupBy(*keys).agg(*[(_strict(df, c) if strict else sum_of(df, c)).alias(c) for c in cols])
+
+
+def _strict(df: DataFrame, name: str) -> Column:
+    return F.when(F.count(name) == F.count(F.lit(1)), sum_of(df, name))
 
 
 def tally(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -46,9 +50,9 @@ def share_of_total(
     if summary:
         group = Window.partitionBy(*by)
         whole = F.count(F.lit(1)).over(group)
-        out = df.withColumns({f"{c}_sum": F.when(F.count(c).over(group) == whole, F.sum(c).over(group)) for c in cols})
+        out = df.withColumns({f"{c}_sum": F.when(F.count(c).over(group) == whole, sum_of(df, c, group)) for c in cols})
         return out.withColumns({f"{c}_share": ieee_div(F.col(c), F.col(f"{c}_sum")) for c in cols})
-    totals = df.groupBy(*by).agg(*[strict_sum(F.col(c)).alias(f"{c}_sum") for c in cols])
+    totals = df.groupBy(*by).agg(*[_strict(df, c).alias(f"{c}_sum") for c in cols])
     out = attach_groups(df, totals, by, rows)
     return out.withColumns({f"{c}_share": ieee_div(F.col(c), F.col(f"{c}_sum")) for c in cols})
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from levyscope.functions import scalars as fn
+from levyscope.functions import sums
+from levyscope.operators import shares
 
 
 def values(spark, schema, rows, *exprs):
@@ -142,3 +144,53 @@ def test_means_with_missing_and_nan(spark):
     got = df.groupBy("g").agg(fn.weighted_mean(F.col("x"), F.col("w")).alias("wm"), fn.mean_of_numbers(F.col("x")).alias("m"))
     got = {r.g: (r.wm, r.m) for r in got.collect()}
     assert got["a"] == (None, 0.5) and got["b"][1] == 5.0 and got["c"] == (2.5, 3.0)
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    import random
+    from fractions import Fraction
+
+    pick = random.Random(5)
+    x = [pick.choice([1, -1]) * pick.random() * 10.0 ** pick.randint(-9, 17) for _ in range(4000)]
+    x += [round(pick.random() * 1e6, 2) for _ in range(4000)] + [-5.0, 0.0, -0.0, 2.0**59]
+    want = float(sum(map(Fraction, x)) - Fraction(2.0**59)), float(sum(map(Fraction, x)))
+    got = set()
+    for k, parts in enumerate((1, 3, 16)):
+        pick.shuffle(x)
+        df = spark.createDataFrame([(v,) for v in x], "x double").repartition(parts)
+        few = df.where(F.col("x") < 2.0**58)
+        out = few.agg(sums.exact_sum(F.col("x")), fn.strict_mean(F.col("x")), fn.weighted_mean(F.col("x"), 1 / (1 + F.abs("x")))).first()
+        got.add((*out, df.agg(sums.exact_sum(F.col("x"))).first()[0]))
+    assert len(got) == 1
+    (total, mean, _, large), = got
+    assert total == pytest.approx(want[0], rel=1e-15) and mean == total / (len(x) - 1)
+    assert large == pytest.approx(want[1], rel=1e-15)
+
+
+def test_exact_sums_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    cases = {
+        "a": [inf, 1.0], "b": [inf, -inf], "c": [nan, 1.0], "d": [None, None], "e": [1e300, 1.0], "f": [1e-300, 2e-300],
+        "g": [None, -0.1], "h": [1e17, -1e17, 2.0**-20], "i": [-(2.0**-60), 2.0**-59], "j": [5e-324],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k string, x double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(sums.exact_sum(F.col("x")).alias("s"), sums.exact_mean(F.col("x")).alias("m")).collect()}
+    assert got["a"] == (inf, inf) and math.isnan(got["b"][0]) and math.isnan(got["c"][0]) and got["d"] == (None, None)
+    assert got["e"][0] == 1e300 and got["f"][0] == 3e-300 and got["g"] == (-0.1, -0.1)
+    assert got["h"][0] == 2.0**-20 and got["i"][0] == 2.0**-60 and got["j"][0] == 5e-324
+    whole = spark.createDataFrame([(1, 2.5), (2, 3.5)], "n long, x double")
+    assert whole.agg(sums.sum_of(whole, "n"), sums.sum_of(whole, "x")).first() == (3, 6.0)
+
+
+def test_group_sums_are_the_same_over_partitionings(spark):
+    rows = [(k % 3, math.sin(k) * 10 ** (k % 12), k) for k in range(3000)]
+    got = set()
+    for parts in (1, 4, 13):
+        df = spark.createDataFrame(rows, "g int, x double, n int").repartition(parts)
+        got.add((
+            tuple(sorted(map(tuple, shares.sum_by(df, ["g"], ["x", "n"]).collect()))),
+            tuple(sorted(r.x_share for r in shares.share_of_total(df, ["x"], ["g"]).collect())),
+            tuple(sorted(r.x_share for r in shares.share_of_total(df, ["x"], ["g"], summary=True).collect())),
+        ))
+    (sums_of, joined, windowed), = got
+    assert isinstance(sums_of[0][2], int) and joined == windowed
