@@ -213,10 +213,9 @@ def link_vectors(distinct: DataFrame, least: float) -> DataFrame:
                     ["node", "copies", "embedding", "cell", "chunk", "lo", "i", "hi", "j"],
                 )
 
-    chunk = F.lit(1)
-    for c, k in chunks.items():
-        if k > 1:
-            chunk = F.when(F.col("cell") == c, k).otherwise(chunk)
+    # one literal, however many cells: cells count from -1
+    counts = F.lit([chunks.get(c, 1) for c in range(-1, MOST_PIVOTS)])
+    chunk = F.get(counts, F.col("cell") + 1)
     dealt = cells.withColumn("chunk", F.pmod(F.xxhash64("node"), chunk).cast("int")).mapInArrow(
         deal,
         f"node long, copies long, embedding {distinct.schema['embedding'].dataType.simpleString()}, cell int, chunk int, lo int, i int, hi int, j int",

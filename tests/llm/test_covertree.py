@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from levyscope.llm import covertree
 from tests.llm.test_simhash import components
@@ -63,3 +64,16 @@ def test_tree_covers_and_halves():
             assert np.array_equal(np.sort(np.concatenate([c.rows for c in ball.children])), np.sort(ball.rows))
             assert (ball.children[0].centre == ball.centre).all() and ball.children[0].radius <= ball.radius / 2
         todo += ball.children
+
+
+def test_every_cell_in_several_chunks(spark, monkeypatch):
+    """As many cells as there may be, nearly all of several chunks."""
+    monkeypatch.setattr(covertree, "TILE", 4)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12_000, 16)).astype(np.float32)
+    x[6000:] = x[:6000] + np.float32(1e-4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    distinct = df.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), "embedding")
+    links = covertree.link_vectors(distinct, 0.999).select(F.min("node"), F.count("*"))
+    # planning alone overflowed the stack with a condition per cell
+    assert "FlatMapGroupsInArrow" in links._jdf.queryExecution().executedPlan().toString()
