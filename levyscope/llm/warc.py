@@ -1,10 +1,13 @@
 """Web archives: a deterministic sharded writer, and a reader.
 
-Pages are range-sorted by ``page_id``; each task writes its range as gzip members, one per record, and starts a new file when
-the compressed size passes ``roll_bytes``. Headers and digests are made anew from the content, and nothing depends on the
-clock, so the same pages give the same bytes. Files are written under temporary names; what the finished job reports is the
-manifest, and only files of the manifest get their names, so a lost task leaves nothing that is read. The folder is named by
-a URI that every executor reaches; pyarrow opens it.
+Pages are range-sorted by ``page_id`` and payload, so pages without an id or with one id spread; each task writes its range as
+gzip members, one per record, and starts a new file when the compressed size passes ``roll_bytes``. Headers and digests are
+made anew from the content, and nothing depends on the clock, so the same pages give the same bytes. Files are written under
+temporary names; what the finished job reports is the manifest, and only files of the manifest get their names. The manifest
+(name, bytes, records, sha256 of every file) is a table beside the archives, and ``_manifest.json`` with its totals is written
+last. The reader opens what the manifest names and nothing else, and fails where the totals are missing or a file is not what
+the manifest says, so neither a lost task nor a writer that died leaves anything that is read. The folder is named by a URI
+that every executor reaches; pyarrow opens it.
 
 Of records with equal payloads of at least ``min_payload`` bytes the one with the least ``page_id`` is the response and the
 others are revisits of it. Null html is an empty payload, a null url an ``urn:page:`` name. Repeated rows of one page: the
@@ -98,12 +101,13 @@ def write_archives(
 ) -> DataFrame:
     """Write the pages below ``folder`` (not there yet) and return the manifest: name, bytes, records, sha256."""
     marks = stage(revisits(pages, min_payload), "revisits").df
-    here = pages.select("page_id", "url", "html", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("refers_to"))
+    key = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    here = pages.select("page_id", "url", "html", key.alias("key"), F.lit(None).cast("long").alias("refers_to"))
     marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "key", "refers_to")
     n = pages.rdd.getNumPartitions()
-    # a page's marks come right before the page
-    merged = here.unionByName(marks).repartitionByRange(n, "page_id").sortWithinPartitions(
-        "page_id", F.col("key").asc_nulls_last(), "url", "html"
+    # a page's mark comes right before the page
+    merged = here.unionByName(marks).repartitionByRange(n, "page_id", "key").sortWithinPartitions(
+        "page_id", "key", F.col("refers_to").asc_nulls_last(), "url"
     )
     merged = merged.withColumn("shard", F.spark_partition_id())
 
@@ -111,7 +115,7 @@ def write_archives(
         store, root = fs.FileSystem.from_uri(folder)
         attempt = uuid.uuid4().hex
         store.create_dir(f"{root}/_temporary/{attempt}")
-        done, held, last, known, shard = [], None, (None,), {}, None
+        done, held, last, target, shard = [], None, None, None, None
 
         def close():
             nonlocal held
@@ -128,22 +132,20 @@ def write_archives(
 
         for batch in batches:
             for page_id, url, html, key, refers_to, shard in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (page_id,) != last:
-                    last, known = (page_id,), {}
-                if key is not None:
-                    known[key] = refers_to
+                if (page_id, key) != last:
+                    last, target = (page_id, key), None
+                if refers_to is not None:
+                    target = refers_to
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                own = hashlib.sha1(payload).hexdigest()
-                target = known.get(own)
-                if page_id is not None and len(payload) >= min_payload:
-                    known.setdefault(own, page_id)  # the same page again
                 if held is None:
                     name = f"{prefix}-{shard:05d}-{len(done):05d}.warc.gz"
                     path = f"_temporary/{attempt}/{name}"
                     held = [store.open_output_stream(f"{root}/{path}", compression=None), path, name, 0, 0, hashlib.sha256()]
                     put(info_record(name, level))
                 put(page_record(page_id, url, payload, target, level))
+                if target is None and page_id is not None and len(payload) >= min_payload:
+                    target = page_id  # for the same page again
                 held[4] += 1
                 if held[3] >= roll_bytes:
                     close()
@@ -166,9 +168,12 @@ def write_archives(
             yield batch.select(["name", "bytes", "records", "sha256"])
 
     named = stage(manifest.mapInArrow(commit, "name string, bytes long, records long, sha256 string"), "committed").df
+    named.write.parquet(f"{folder}/manifest")
     total = named.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("records")).first()
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
+    if store.get_file_info(f"{root}/_temporary").type != fs.FileType.NotFound:
+        store.delete_dir(f"{root}/_temporary")  # files of lost attempts
     with store.open_output_stream(f"{root}/_manifest.json") as f:
         f.write(json.dumps(dict(zip(("files", "bytes", "records"), (x or 0 for x in total)))).encode())
     return named
@@ -192,16 +197,28 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row per page record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload of a
-    response. Digests are checked against the content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+    response. Only files of the manifest are read; they are checked against it, and digests against the content."""
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/_manifest.json") as f:  # not there: the archive was not finished
+        total = json.loads(f.read())
+    manifest = spark.read.parquet(f"{folder}/manifest").select("name", "bytes", "sha256")
+    if manifest.count() != total["files"]:
+        raise ValueError(f"the manifest of {folder} does not have {total['files']} files")
+    n = max(1, min(total["files"], 4 * spark.sparkContext.defaultParallelism, total["bytes"] >> 20))
+    files = manifest.repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column("content"):
+            for name, size, sha in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    content = f.read()
+                if len(content) != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{name} is not what the manifest says")
                 out, held = [], 0
-                for headers, block in parse(content.as_py()):
+                for headers, block in parse(content):
                     kind = headers["WARC-Type"]
                     if kind not in ("response", "revisit"):
                         continue

@@ -59,3 +59,33 @@ def test_repeated_rows_null_ids_and_empty(spark, tmp_path):
     assert sorted(out, key=str) == [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (None, "response", None)]
     warc.write_archives(pages(spark, [], 1), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_only_what_the_manifest_names_is_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/g"
+    manifest = warc.write_archives(pages(spark, ROWS), folder, roll_bytes=700).collect()
+    here = tmp_path / "g"
+    assert not (here / "_temporary").exists()
+    stray = (here / manifest[0].name).read_bytes()
+    (here / "pages-99999-00000.warc.gz").write_bytes(stray)  # of no manifest
+    assert warc.read_archives(spark, folder).count() == len(ROWS)
+    name = here / manifest[1].name
+    whole = name.read_bytes()
+    name.write_bytes(whole[:-9])
+    with pytest.raises(Exception, match="not what the manifest says"):
+        warc.read_archives(spark, folder).count()
+    name.unlink()
+    with pytest.raises(Exception, match="(?i)no such file|not found|cannot find"):
+        warc.read_archives(spark, folder).count()
+    name.write_bytes(whole)
+    (here / "_manifest.json").unlink()  # a writer that died before the end
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, folder)
+
+
+def test_null_and_repeated_ids_spread(spark, tmp_path):
+    rows = [(None if i % 2 else 7, f"u{i}", f"page {i}", None, None) for i in range(400)]
+    manifest = warc.write_archives(pages(spark, rows, 8), f"file://{tmp_path}/s").collect()
+    assert len(manifest) >= 6 and max(r.records for r in manifest) < 200
+    out = warc.read_archives(spark, f"file://{tmp_path}/s").collect()
+    assert len(out) == 400 and {r.record_type for r in out} == {"response"}
