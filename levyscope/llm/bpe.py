@@ -21,9 +21,11 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,10 @@ PLAIN_END = "ɏ"
 LONG_PIECE = 4096
 #: Most pieces an encoder keeps (under 300 MB), and most a count of pieces holds before it is handed on.
 MEMO = 800_000
+#: Most pieces that the encoding of columns keeps (about 50 MB).
+KEPT = 250_000
+#: A line feed or a space at most, letters up to ``PLAIN_END``, marks.
+PLAIN = r"^(?P<feed>\n?)(?P<word> ?[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 NO_RANK = np.int64(1 << 40)
 
 
@@ -85,14 +91,22 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NO_RANK)
 
+    @cached_property
+    def byte_ranks(self) -> np.ndarray:
+        """Ranks of all pairs of bytes, by the first times 256 and the second."""
+        return self.ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each word has."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        token = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+        return self.merge_bytes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def merge_bytes(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, which lie one after the other in ``data``, and how many each word has."""
+        token = self.byte_ids[data]
+        word = np.repeat(np.arange(len(lengths)), lengths)
         rank = np.full(len(token), NO_RANK)
         inside = np.flatnonzero(word[1:] == word[:-1])
-        rank[inside] = self.ranks(token[inside], token[inside + 1])
+        rank[inside] = self.byte_ranks[data[inside].astype(np.int64) << 8 | data[inside + 1]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(token):
             start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -124,10 +138,10 @@ class Vocabulary:
             last = spot[spot + 1 == len(token)]
             rank[last] = NO_RANK
         if not done:
-            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
+            return np.empty(0, np.int32), np.zeros(len(lengths), np.int64)
         word, token = (np.concatenate(c) for c in zip(*done))
         order = np.argsort(word, kind="stable")
-        return token[order], np.bincount(word, minlength=len(words))
+        return token[order], np.bincount(word, minlength=len(lengths))
 
     def split(self, piece: str) -> list[bytes]:
         """The words of a piece."""
@@ -257,6 +271,42 @@ def spelled(piece: str) -> str:
     return piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
 
 
+def string_bytes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's strings, one after the other, and where each ends, from 0."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    if data is None:
+        return np.empty(0, np.uint8), ends - ends[0]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+class Runs:
+    """Runs of ids in one array, taken by number."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids.astype(np.uint32), sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def packed(cls, runs: list[bytes]) -> Runs:
+        return cls(np.frombuffer(b"".join(runs), "<u4"), np.fromiter((len(r) // 4 for r in runs), np.int64, len(runs)))
+
+    def __add__(self, other: Runs) -> Runs:
+        return Runs(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+    def take(self, which: np.ndarray) -> Runs:
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[which] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return Runs(self.ids[at], sizes)
+
+    def joined(self, counts: np.ndarray) -> Runs:
+        """Runs of the ids of the first ``counts[0]`` runs, of the next ``counts[1]`` and so on."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return Runs(self.ids, np.diff(ends))
+
+
 class Encoder:
     """Encodes texts; keeps what it has seen, up to ``MEMO`` pieces, as packed ids. Beyond that only the pieces of the last batch
     stay, which hold nearly all common words."""
@@ -266,6 +316,8 @@ class Encoder:
         self.memo: dict[str, bytes | None] = {}
         self.held: dict[str, bytes] = {}  # what the lexicon has given, never forgotten and no more than it holds
         self.last: set[str] = set()
+        self.numbers: dict[str, int] = {}  # pieces met in columns, with their white space, by their place in ``runs``
+        self.runs = Runs.packed([])
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in special)) if special else None
 
@@ -312,8 +364,8 @@ class Encoder:
         unseen = []
         for p in others:
             whole = spelled(p)
-            if whole[-1].isspace() and whole[-1] not in " \n":
-                self.memo[p] = None  # white space goes on after the cut
+            if self.goes_on(whole):
+                self.memo[p] = None
             elif len(whole) > LONG_PIECE:
                 self.memo[p] = self.by_library(whole)
             else:
@@ -355,6 +407,87 @@ class Encoder:
         memo = self.memo
         self.memo = self.held | {p: memo[p] for p in self.last if p in memo}
 
+    def encode_column(self, column: pa.StringArray) -> list[bytes]:
+        """``encode`` of the texts (no nulls) of a column, without a Python object per piece: the bytes are cut with numpy, Arrow
+        numbers the distinct pieces, and only these are looked up. Keeps up to ``KEPT`` pieces."""
+        odd = pc.match_substring(column, "\0")
+        for s in self.vocabulary.special:
+            odd = pc.or_(odd, pc.match_substring(column, s))
+        data, ends = string_bytes(column)
+        white = (data == 32) | (data == 10)
+        cut = white.copy()
+        cut[1:] &= ~white[:-1]
+        cut[ends[:-1][ends[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut).astype(np.int32)
+        counts = np.diff(np.searchsorted(starts, ends))
+        offsets = pa.py_buffer(np.append(starts, np.int32(len(data))))
+        pieces = pa.StringArray.from_buffers(len(starts), offsets, pa.py_buffer(data)).dictionary_encode()
+        which, lone = self.numbered(pieces.dictionary)
+        which = which[pieces.indices.to_numpy()]
+        texts_ = self.runs.take(which).joined(counts)
+        ids, upto = texts_.ids.astype("<u4").tobytes(), (4 * np.cumsum(texts_.sizes)).tolist()
+        out = [ids[a:z] for a, z in zip([0, *upto], upto)]
+        odd = odd.to_numpy(zero_copy_only=False)
+        if lone.size:  # a piece has no ids of its own
+            met = np.concatenate([[0], np.cumsum(np.isin(which, lone))])[np.concatenate([[0], np.cumsum(counts)])]
+            for i in np.flatnonzero((np.diff(met) > 0) & ~odd).tolist():
+                out[i] = self.by_library(column[i].as_py())
+        at = np.flatnonzero(odd).tolist()
+        for i, packed in zip(at, self.encode([column[i].as_py() for i in at])):
+            out[i] = packed
+        if len(self.memo) > KEPT:
+            self.trim()
+        return out
+
+    def numbered(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``runs`` of distinct pieces, and the places of those that have no ids of their own."""
+        names, numbers = pieces.to_numpy(zero_copy_only=False).tolist(), self.numbers
+        which = np.fromiter(map(numbers.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(which < 0)
+        if len(numbers) + len(new) > KEPT:  # only the pieces of this batch stay
+            old = np.flatnonzero(which >= 0)
+            self.runs = self.runs.take(which[old])
+            which[old] = np.arange(len(old))
+            self.numbers = numbers = {names[i]: k for k, i in enumerate(old.tolist())}
+        which[new] = len(numbers) + np.arange(len(new))
+        if len(new):
+            self.runs += self.learned(pieces.take(pa.array(new)))
+            numbers.update(zip(map(names.__getitem__, new.tolist()), which[new].tolist()))
+        return which, which[self.runs.sizes[which] == 0]
+
+    def learned(self, pieces: pa.StringArray) -> Runs:
+        """Ids of distinct pieces with their white space; none for one after which white space goes on."""
+        vocabulary = self.vocabulary
+        parts = pc.extract_regex(pieces, PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False) & (pc.binary_length(pieces).to_numpy() <= LONG_PIECE)
+        feed, word, marks = (f.filter(pa.array(plain)) for f in parts.flatten())
+        word, marks = word.dictionary_encode(), marks.dictionary_encode()
+        data, ends = string_bytes(word.dictionary)
+        tails = ["", "\n", *marks.dictionary.to_pylist()]
+        known = Runs.packed(vocabulary.encode_pieces(tails)) + Runs(*vocabulary.merge_bytes(data, np.diff(ends)))
+        three = np.empty((int(plain.sum()), 3), np.int64)
+        three[:, 0] = pc.binary_length(feed).to_numpy()
+        three[:, 1] = word.indices.to_numpy() + len(tails)
+        three[:, 2] = marks.indices.to_numpy() + 2
+        runs = known.take(three.ravel()).joined(np.full(len(three), 3))
+        if plain.all():
+            return runs
+        others = pieces.filter(pa.array(~plain)).to_pylist()
+        packed: list[bytes] = [b""] * len(others)
+        for i, p in enumerate(others):
+            if len(p) > LONG_PIECE and not self.goes_on(p):
+                packed[i] = self.by_library(p)
+        short = [i for i, p in enumerate(others) if len(p) <= LONG_PIECE and not self.goes_on(p)]
+        for i, ids in zip(short, vocabulary.encode_pieces([others[i] for i in short])):
+            packed[i] = ids
+        place = np.where(plain, np.cumsum(plain) - 1, len(three) + np.cumsum(~plain) - 1)
+        return (runs + Runs.packed(packed)).take(place)
+
+    @staticmethod
+    def goes_on(piece: str) -> bool:
+        """White space goes on after the cut."""
+        return piece[-1].isspace() and piece[-1] not in " \n"
+
     def joined(self, text: str, pieces: list[str]) -> bytes:
         try:
             return b"".join(map(self.memo.__getitem__, pieces))

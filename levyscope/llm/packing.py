@@ -37,7 +37,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: in
         encoder = shared_encoder(path)
         for batch in rows(batches):
             out, of = [], []
-            for i, packed in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for i, packed in enumerate(encoder.encode_column(batch.column("text"))):
                 packed += end
                 n = len(packed) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

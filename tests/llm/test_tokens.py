@@ -1,11 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from levyscope.llm import bpe, packing
@@ -48,6 +51,40 @@ def test_encoder_equals_library(library, memo, monkeypatch):
             assert encoder.vocabulary.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("kept", [10, 400_000])
+def test_encoded_column_equals_library(library, kept, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", kept)
+    texts = ODD + fuzzed(3000) + [" x" * 3 + "y" * 5000 + "z. " + "é" * 4096, "B\nC, d's\n\nE?! 12a\n.", "a<|endoftext|>\x00\t"]
+    encoder = bpe.Encoder(PATH)
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        column = pa.array(["left out", *part], pa.string()).slice(1)
+        for text, packed in zip(part, encoder.encode_column(column)):
+            assert np.frombuffer(packed, "<u4").tolist() == ids_of(library, text), repr(text)
+    assert encoder.encode_column(pa.array([], pa.string())) == [] and encoder.encode_column(pa.array([""])) == [b""]
+
+
+def test_pieces_kept_between_tasks_stay_small(monkeypatch):
+    class Docs:
+        schema = StructType([StructField("doc_id", LongType())])
+
+        def mapInArrow(self, run, ddl):
+            return run
+
+    monkeypatch.setattr(packing, "texts", lambda docs: docs)
+    run = packing.document_pieces(Docs(), PATH)
+    bpe.shared_encoder(PATH)
+    rnd = random.Random(4)
+    tracemalloc.start()
+    for k in range(40):
+        words = " ".join("".join(rnd.choices("abcdefghij", k=9)) for _ in range(15_000))
+        list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [k], "text": [words]})])))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    bpe.forget_encoders()
+    assert held < 80 << 20
+
+
 def test_lexicon_gives_what_was_put_in_and_nothing_else(library):
     rnd = random.Random(3)
     pieces = sorted({" " + "".join(rnd.choices("abcé", k=rnd.randint(1, 7))) for _ in range(3000)}, key=str.encode)
