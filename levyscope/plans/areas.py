@@ -56,7 +56,8 @@ def area_sums(study: Study, cell: float) -> DataFrame:
     year. The filter uses grouping keys only, so it stands before the sums.
     """
     own = labels.own_comparison(F.col("triad_name"), F.col("comparison_years"))
-    sales = study.clean().where((F.col("year") >= 2016) & own).withColumn("pin10", F.substring("pin", 1, 10))
+    columns = tuple(dict.fromkeys(["pin", "year", "triad_name", "comparison_years", *AREA_KEYS, *AREA_VALUES]))
+    sales = study.clean(columns=columns).where((F.col("year") >= 2016) & own).withColumn("pin10", F.substring("pin", 1, 10))
     blocks = sum_by(sales, ["pin10", *AREA_KEYS], AREA_VALUES)
     located = blocks.join(parcel_areas(study.inputs, cell), "pin10", "left")
     sums = sum_by(located, ["geoid", *AREA_KEYS], AREA_VALUES)

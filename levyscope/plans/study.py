@@ -21,6 +21,10 @@ PIN_WIDTH = 14
 VALUES = ["tax_bill_total", "sale_price", "av_mailed", "av_certified", "av_board", "av_clerk"]
 STAGES = ["mailed", "certified", "board", "clerk"]
 FENCE_GROUP = ["year", "township_code", "class"]
+PROFILE = (
+    "pin", "year", "triad_name", "reporting_group", "comparison_years", "assessor_term", "assessor_term_year", "av_ratio_mailed",
+    "sale_price", "sale_price_hpi",
+)
 MAX_Z = 3
 MIN_VALUE = 100
 
@@ -66,6 +70,7 @@ class Study:
     def __init__(self, inputs: Inputs, base_year: int = 2006):
         self.inputs = inputs
         self.base_year = base_year
+        self._plans: dict[tuple, DataFrame] = {}
         self._clean: dict[tuple, DataFrame] = {}
 
     @functools.cached_property
@@ -108,17 +113,24 @@ class Study:
         """z-score of the adjusted price within the reporting group, over all years."""
         return zscore_by_group(self.grouped(trims), "sale_price_hpi", ["reporting_group"], rows=self.rows)
 
-    def clean(self, trims: list[float] = NO_TRIMS) -> DataFrame:
+    def clean(self, trims: list[float] = NO_TRIMS, columns: tuple[str, ...] | None = None) -> DataFrame:
         """The sales all statistics use. Planned once per study: group statistics may have been written on the way. If they are
-        many they are written once, for medians, tilings and trends alike: each of these reads them several times."""
-        if tuple(trims) not in self._clean:
-            plan = self._clean_plan(trims)
-            self._clean[tuple(trims)] = plan if is_small(self.rows) else stage(plan, "clean").df
-        return self._clean[tuple(trims)]
+        many they are written once, as medians, tilings and trends read them several times; a statistic names its ``columns``, and
+        only these are written for it, unless the whole rows have been (``keep``)."""
+        key = tuple(trims)
+        if (key, None) in self._clean:
+            whole = self._clean[key, None]
+            return whole if columns is None else whole.select(*columns)
+        if (key, columns) not in self._clean:
+            if key not in self._plans:
+                self._plans[key] = self._clean_plan(trims)
+            plan = self._plans[key] if columns is None else self._plans[key].select(*columns)
+            self._clean[key, columns] = plan if is_small(self.rows) else stage(plan, "clean").df
+        return self._clean[key, columns]
 
     def keep(self) -> Study:
         """Write the clean sales once, for callers that build many tables from one study."""
-        self._clean[()] = stage(self.clean(), "clean").df
+        self._clean[(), None] = stage(self.clean(), "clean").df
         return self
 
     def _clean_plan(self, trims: list[float]) -> DataFrame:
@@ -129,13 +141,15 @@ class Study:
     # -- statistics by year
 
     def cod_by_year(self) -> DataFrame:
-        return ratios.cod(self.clean(), "av_ratio_mailed", ["year"], self.rows)
+        return ratios.cod(self.clean(columns=("year", "av_ratio_mailed")), "av_ratio_mailed", ["year"], self.rows)
 
     def prd_by_year(self) -> DataFrame:
-        return ratios.prd(self.clean(), "av_ratio_mailed", "sale_price_hpi", ["year"], self.rows)
+        sales = self.clean(columns=("year", "av_ratio_mailed", "sale_price_hpi"))
+        return ratios.prd(sales, "av_ratio_mailed", "sale_price_hpi", ["year"], self.rows)
 
     def prb_terms(self) -> DataFrame:
-        return ratios.prb_terms(self.clean(), "av_ratio_mailed", "av_mailed", "sale_price", ["year"], self.rows)
+        sales = self.clean(columns=("year", "av_ratio_mailed", "av_mailed", "sale_price"))
+        return ratios.prb_terms(sales, "av_ratio_mailed", "av_mailed", "sale_price", ["year"], self.rows)
 
     def prb_by_year(self, level: float = 0.99, pool: bool = True) -> DataFrame:
         return ratios.ols_interval(self.prb_terms(), "prb_pct_diff", "prb_ln_value", ["year"], level, pool)
@@ -147,7 +161,8 @@ class Study:
 
     def price_index_trend(self) -> DataFrame:
         """Average adjusted price per (quartile, year) relative to the base year."""
-        quartiles = self.tiled(self.clean(), 4, ["year", "reporting_group"])
+        sales = self.clean(columns=("pin", "year", "reporting_group", "sale_price_hpi"))
+        quartiles = self.tiled(sales, 4, ["year", "reporting_group"])
         price = F.col("sale_price_hpi")
         trend = quartiles.groupBy("sales_ntile", "year").agg(
             F.count(F.lit(1)).alias("count"),
@@ -166,21 +181,22 @@ class Study:
     def ratio_profile_county(self) -> DataFrame:
         """Ratio against price by percentile, each triad in its own compared years."""
         own = labels.own_comparison(F.col("triad_name"), F.col("comparison_years"))
-        sales = self.clean().where((F.col("year") >= 2016) & own)
+        sales = self.clean(columns=PROFILE).where((F.col("year") >= 2016) & own)
         keys = ["reporting_group", "comparison_years", "assessor_term", "assessor_term_year"]
         return self._profile(sales, ["year", "reporting_group"], keys)
 
     @planned_once
     def ratio_profile_triad(self) -> DataFrame:
-        sales = self.clean().where(F.col("year") >= 2016)
+        sales = self.clean(columns=PROFILE).where(F.col("year") >= 2016)
         keys = ["reporting_group", "triad_name", "comparison_years", "assessor_term", "assessor_term_year"]
         return self._profile(sales, ["year", "triad_name", "reporting_group"], keys)
 
     @planned_once
     def board_summary(self) -> DataFrame:
         """Mailed and board values by price percentile and year, with their ratio and difference."""
-        tiles = self.tiled(self.clean().where(F.col("year") >= 2019), 100, ["year"])
         means = ["av_mailed_hpi", "av_board_hpi", "av_ratio_mailed", "av_ratio_board", "sale_price", "sale_price_hpi"]
+        sales = self.clean(columns=("pin", "year", "assessor_term", *means)).where(F.col("year") >= 2019)
+        tiles = self.tiled(sales, 100, ["year"])
         wide = ratios.mean_by(tiles, ["year", "sales_ntile", "assessor_term"], means)
         mailed, board = F.col("av_mailed_hpi"), F.col("av_board_hpi")
         return wide.withColumns(

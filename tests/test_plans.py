@@ -46,6 +46,27 @@ def test_statistics_read_only_their_columns(spark, sf_dir):
     assert "tax_bill_total" not in text.split("ReadSchema:", 1)[1].split("\n", 1)[0]
 
 
+def test_large_statistics_write_only_their_columns(spark, sf_dir, distributed, monkeypatch):
+    written = []
+
+    def recorded(df, label, **counts):
+        written.append((label, df.columns))
+        return stage(df, label, **counts)
+
+    stage = study.stage
+    monkeypatch.setattr(study, "stage", recorded)
+    s = Study(fixtures.inputs(spark, sf_dir), BASE_YEAR)
+    narrow = s.prd_by_year().orderBy("year").collect()
+    assert [columns for label, columns in written if label == "clean"] == [["year", "av_ratio_mailed", "sale_price_hpi"]]
+    # another statistic shares the plan; after keep() all read the whole rows
+    plans = dict(s._plans)
+    s.cod_by_year()
+    assert s._plans == plans and len(plans) == 1
+    s.keep()
+    n = len(written)
+    assert s.prd_by_year().orderBy("year").collect() == narrow and len(written) == n
+
+
 def test_unknown_table_is_refused():
     with pytest.raises(TypeError):
         Inputs(orders=lambda: None)
